@@ -203,8 +203,13 @@ class Tables:
         )
 
     @cached_property
-    def contestant(self) -> DataFrame:
-        return self.spark.range(CONTESTANTS).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("contestant"))
+    def submission(self) -> DataFrame:
+        """Which contestants submitted which paper; every paper misses one or none of them."""
+        names = F.array(*[F.lit(f"k{i}") for i in range(CONTESTANTS)])
+        papers = self.read("lineitem").select(F.col("l_partkey").alias("paper_no")).distinct()
+        return papers.select(
+            F.col("paper_no").cast("string").alias("paper_id"), "paper_no", F.posexplode(names).alias("_i", "contestant")
+        ).where((F.col("paper_no") + F.col("_i")) % 31 != 0).select("paper_id", "contestant")
 
     @cached_property
     def unit_member(self) -> DataFrame:
@@ -338,7 +343,10 @@ VIEWS: dict[str, str] = {
                      CASE WHEN (l_orderkey + l_linenumber) % 5 = 0 THEN 'accepted_improvement' ELSE 'required' END AS scoring_mode,
                      l_suppkey AS supp, CAST(l_quantity AS INTEGER) AS qty FROM lineitem)
         GROUP BY paper_no, paper_id, unit_id""",
-    "f_contestant": f"SELECT 'k' || CAST(r AS VARCHAR) AS contestant FROM (SELECT unnest(range({CONTESTANTS})) AS r)",
+    "f_submission": f"""
+        SELECT CAST(paper_no AS VARCHAR) AS paper_id, 'k' || CAST(i AS VARCHAR) AS contestant
+        FROM (SELECT paper_no, unnest(range({CONTESTANTS})) AS i FROM (SELECT DISTINCT l_partkey AS paper_no FROM lineitem))
+        WHERE (paper_no + i) % 31 <> 0""",
     "f_unit_member": f"""
         SELECT DISTINCT paper_id, unit_id, 'k' || CAST((supp + o) % {CONTESTANTS} AS VARCHAR) AS contestant
         FROM (SELECT *, unnest([0, qty, qty * 5 + 1]) AS o FROM f_unit)""",
