@@ -67,6 +67,22 @@ def strip_numbers_if_ungrounded(text: Column, quotes: Column) -> Column:
     return F.when(F.size(ungrounded_numbers(text, quotes)) > 0, strip_numbers(text)).otherwise(text)
 
 
-def ratio4(numerator: Column, denominator: Column) -> Column:
-    """Half-even rounding to four places of an exact integer ratio."""
-    return F.bround(numerator / denominator, 4)
+def ratio_units(numerator: Column, denominator: Column, places: int = 4) -> Column:
+    """Integer number of 10^-places units in an exact integer ratio, ties to even.
+
+    Works on integers only, so the answer never depends on how a quotient such
+    as 0.49875 happens to be stored in binary.
+    """
+    scaled = numerator.cast("bigint") * 10**places
+    whole = _div(scaled, denominator)
+    rest = scaled - whole * denominator
+    up = (rest * 2 > denominator) | ((rest * 2 == denominator) & (whole % 2 == 1))
+    return whole + F.when(up, 1).otherwise(0)
+
+
+def _div(left: Column, right: Column) -> Column:
+    return F.call_function("div", left, right.cast("bigint"))
+
+
+def ratio(numerator: Column, denominator: Column, places: int = 4) -> Column:
+    return ratio_units(numerator, denominator, places) / F.lit(float(10**places))

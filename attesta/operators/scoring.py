@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.functions import fixed_values as fv
+from attesta.functions import numbers as N
 from attesta.settings import PAYOUT, PayoutSettings
 
 
@@ -117,11 +118,13 @@ def coverage(units: DataFrame, members: DataFrame, submissions: DataFrame) -> Da
     totals = units.select("paper_id").distinct().join(scored.groupBy("paper_id").agg(*sums("total")), "paper_id", "left").na.fill(0)
     got = covered_units(scored, members).groupBy("paper_id", "contestant").agg(*sums("got"))
     joined = submissions.join(totals, "paper_id").join(got, ["paper_id", "contestant"], "left").na.fill(0, ["got_main", "got_minor"])
-    cap = F.lit(fv.MINOR_TIER_CAP / (1.0 - fv.MINOR_TIER_CAP)) * F.col("total_main")
-    main = F.bround(
-        (F.col("got_main") + F.least(F.col("got_minor").cast("double"), cap))
-        / (F.col("total_main") + F.least(F.col("total_minor").cast("double"), cap)), 4)
-    only_minor = F.bround(F.col("got_minor") / F.col("total_minor"), 4)
+    # The minor tier counts for at most cap/(1-cap) of the main total; with cap 1/20 that is total_main / 19.
+    part = round(1 / fv.MINOR_TIER_CAP) - 1
+    main = N.ratio(
+        F.col("got_main") * part + F.least(F.col("got_minor") * part, F.col("total_main")),
+        F.col("total_main") * part + F.least(F.col("total_minor") * part, F.col("total_main")),
+    )
+    only_minor = N.ratio(F.col("got_minor"), F.col("total_minor"))
     value = (
         F.when(F.col("total_main") > 0, main).when(F.col("total_minor") > 0, only_minor).otherwise(F.lit(1.0))
     )
@@ -152,14 +155,16 @@ def paper_scores(
         .join(diagnostics, ["paper_id", "contestant"], "left")
         .join(alive, "paper_id", "left")
     )
-    # An empty record is itself a blocker finding outside the completeness dimension only in the summary, never here.
-    adjudication = F.greatest(F.lit(0), 100 - F.coalesce("_lost", F.lit(0))) / 100
-    diagnostic = F.coalesce("diagnostic_quality", F.lit(1.0))
-    quality = F.greatest(F.lit(0.0), F.bround(diagnostic * adjudication, 4))
-    score = F.when(F.col("_alive").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.bround(F.col("coverage") * quality, 4)))
+    adjudication = F.greatest(F.lit(0), 100 - F.coalesce("_lost", F.lit(0)))
+    diagnostic = F.round(F.coalesce("diagnostic_quality", F.lit(1.0)) * 10000).cast("bigint")
+    # All factors are whole hundredths or ten-thousandths, so the products are exact integers.
+    quality = N.ratio_units(diagnostic * adjudication, F.lit(100 * 10000))
+    score = F.when(F.col("_alive").isNull(), F.lit(0.0)).otherwise(
+        N.ratio(score_units(F.col("coverage")) * quality, F.lit(10000 * 10000)))
     return joined.select(
-        "paper_id", "contestant", "coverage", diagnostic.alias("diagnostic_quality"), adjudication.alias("adjudication_quality"),
-        quality.alias("quality"), score.alias("score"), F.coalesce("n_invalid", F.lit(0)).alias("n_invalid"),
+        "paper_id", "contestant", "coverage", (diagnostic / 10000).alias("diagnostic_quality"),
+        (adjudication / 100).alias("adjudication_quality"), (quality / 10000).alias("quality"), score.alias("score"),
+        F.coalesce("n_invalid", F.lit(0)).alias("n_invalid"),
     )
 
 
@@ -207,7 +212,7 @@ def batch_scores(paper_rows: DataFrame, expected: int | None = None) -> DataFram
     stats = paper_rows.groupBy("contestant").agg(
         F.count("*").alias("papers"),
         F.count_distinct(F.when(F.col("missing"), F.col("paper_id"))).alias("missing_papers"),
-        F.bround(F.sum(score_units(F.col("score"))) / (F.count("*") * F.lit(10000.0)), 4).alias("mean_score"),
+        N.ratio(F.sum(score_units(F.col("score"))), F.count("*") * 10000).alias("mean_score"),
         F.bround(F.min("score"), 4).alias("min_score"),
     )
     joined = stats.join(median, "contestant").withColumn("eligible_papers", eligible)
@@ -237,7 +242,7 @@ def _exact_median(paper_rows: DataFrame) -> DataFrame:
         F.max(F.when((F.col("_lo") <= low) & (low < F.col("_hi")), F.col("v"))).alias("_a"),
         F.max(F.when((F.col("_lo") <= high) & (high < F.col("_hi")), F.col("v"))).alias("_b"),
     )
-    return middle.select("contestant", F.bround((F.col("_a") + F.col("_b")) / 20000.0, 4).alias("median_score"))
+    return middle.select("contestant", N.ratio(F.col("_a") + F.col("_b"), F.lit(20000)).alias("median_score"))
 
 
 def winner_takes_most(scores: DataFrame, settings: PayoutSettings = PAYOUT) -> DataFrame:

@@ -92,3 +92,14 @@ def evidence_kind(x: str, hint: str) -> str:
 def case_map(x: str, table: dict, default: str) -> str:
     arms = " ".join(f"WHEN {x} = {q(k)} THEN {v if isinstance(v, int) else q(v)}" for k, v in table.items())
     return f"(CASE {arms} ELSE {default} END)"
+
+
+def ratio_units(num: str, den: str, places: int = 4) -> str:
+    """Ties-to-even units of 10^-places of an integer ratio."""
+    n, d = f"(CAST({num} AS BIGINT) * {10**places})", f"CAST({den} AS BIGINT)"
+    rest = f"({n} - ({n} // {d}) * {d})"
+    return f"({n} // {d} + CASE WHEN {rest} * 2 > {d} OR ({rest} * 2 = {d} AND ({n} // {d}) % 2 = 1) THEN 1 ELSE 0 END)"
+
+
+def ratio(num: str, den: str, places: int = 4) -> str:
+    return f"({ratio_units(num, den, places)} / {float(10**places)})"

@@ -9,15 +9,15 @@ from attesta.operators import scoring
 from attesta.plans import duck as D
 from attesta.plans.audit_queries import SCORE_SQL
 from attesta.plans.registry import query
+from attesta.session import cut_lineage
 from attesta.settings import PayoutSettings
 
 W100 = D.case_map("importance", fv.IMPORTANCE_WEIGHT_HUNDREDTHS, "0")
-CAP = repr(fv.MINOR_TIER_CAP / (1.0 - fv.MINOR_TIER_CAP))
 
 COVERAGE = f"""
   SELECT paper_id, contestant, CASE WHEN tm > 0 THEN
-      round_even((gm + least(CAST(gn AS DOUBLE), {CAP} * tm)) / (tm + least(CAST(tn AS DOUBLE), {CAP} * tm)), 4)
-    WHEN tn > 0 THEN round_even(CAST(gn AS DOUBLE) / tn, 4) ELSE 1.0 END AS coverage
+      {D.ratio('(gm * 19 + least(gn * 19, tm))', '(tm * 19 + least(tn * 19, tm))')}
+    WHEN tn > 0 THEN {D.ratio('gn', 'tn')} ELSE 1.0 END AS coverage
   FROM (SELECT s.paper_id, s.contestant,
       coalesce(sum(CASE WHEN ok AND importance <> 'minor' THEN {W100} END), 0) AS tm, coalesce(sum(CASE WHEN ok AND importance = 'minor' THEN {W100} END), 0) AS tn,
       coalesce(sum(CASE WHEN ok AND m.unit_id IS NOT NULL AND importance <> 'minor' THEN {W100} END), 0) AS gm,
@@ -28,21 +28,21 @@ COVERAGE = f"""
 DIAGNOSTIC = """
   SELECT paper_id, contestant, (100 - (CAST(paper_id AS BIGINT) + length(contestant)) % 7) / 100.0 AS diagnostic_quality FROM f_submission"""
 PAPER_SCORE = f"""
-  SELECT c.paper_id, c.contestant, coverage, diagnostic_quality, adj AS adjudication_quality, n_invalid, quality,
-         greatest(0, round_even(coverage * quality, 4)) AS score
-  FROM (SELECT *, greatest(0, round_even(diagnostic_quality * adj, 4)) AS quality FROM (
-    SELECT c.paper_id, c.contestant, coverage, diagnostic_quality, greatest(0, 100 - coalesce(x.lost, 0)) / 100.0 AS adj, coalesce(x.n, 0) AS n_invalid
+  SELECT paper_id, contestant, coverage, diagnostic_quality, adj / 100.0 AS adjudication_quality, n_invalid, quality / 10000.0 AS quality,
+         {D.ratio('CAST(round(coverage * 10000) AS BIGINT) * quality', '100000000')} AS score
+  FROM (SELECT *, {D.ratio_units('CAST(round(diagnostic_quality * 10000) AS BIGINT) * adj', '1000000')} AS quality FROM (
+    SELECT c.paper_id, c.contestant, coverage, diagnostic_quality, greatest(0, 100 - coalesce(x.lost, 0)) AS adj, coalesce(x.n, 0) AS n_invalid
     FROM f_coverage c JOIN f_diagnostic d USING (paper_id, contestant)
     LEFT JOIN (SELECT paper_id, contestant, sum({D.case_map('severity', fv.SEVERITY_PENALTY_HUNDREDTHS, '0')}) AS lost, count(*) AS n
-               FROM f_invalid GROUP BY paper_id, contestant) x USING (paper_id, contestant))) c"""
+               FROM f_invalid GROUP BY paper_id, contestant) x USING (paper_id, contestant)))"""
 BATCH_ROWS = """
   SELECT paper_id, contestant, CASE contestant WHEN 'k11' THEN 0.0 WHEN 'k1' THEN 0.5 WHEN 'k0' THEN 0.5 ELSE score END AS score,
          CAST(paper_id AS BIGINT) % 17 = 0 AS missing FROM f_paper_score"""
-BATCH = """
+BATCH = f"""
   SELECT *, rank() OVER (ORDER BY mean_score DESC) AS rank FROM (
     SELECT contestant, count(*) AS papers, count(DISTINCT CASE WHEN missing THEN paper_id END) AS missing_papers,
-      round_even(sum(CAST(round(score * 10000) AS BIGINT)) / (count(*) * 10000.0), 4) AS mean_score,
-      round_even(median(CAST(round(score * 10000) AS BIGINT)) / 10000.0, 4) AS median_score, round_even(min(score), 4) AS min_score
+      {D.ratio('sum(CAST(round(score * 10000) AS BIGINT))', 'count(*) * 10000')} AS mean_score,
+      {D.ratio('2 * median(CAST(round(score * 10000) AS BIGINT))', '20000')} AS median_score, round_even(min(score), 4) AS min_score
     FROM f_batch_row GROUP BY contestant)"""
 VIEWS = {"f_coverage": COVERAGE, "f_diagnostic": DIAGNOSTIC, "f_paper_score": PAPER_SCORE, "f_batch_row": BATCH_ROWS, "f_batch": BATCH,
          "f_score": SCORE_SQL}
@@ -121,7 +121,9 @@ def _project(t):
 
 def batch_rows(t):
     score = F.when(F.col("contestant") == "k11", 0.0).when(F.col("contestant").isin("k0", "k1"), 0.5).otherwise(F.col("score"))
-    return paper_scores(t).select("paper_id", "contestant", score.alias("score"), (F.col("paper_id").cast("bigint") % 17 == 0).alias("missing"))
+    rows = paper_scores(t).select(
+        "paper_id", "contestant", score.alias("score"), (F.col("paper_id").cast("bigint") % 17 == 0).alias("missing"))
+    return cut_lineage(rows)  # read by several aggregates
 
 
 @query("sco_08_batch_score", """
