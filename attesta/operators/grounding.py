@@ -12,27 +12,30 @@ from attesta.operators.fuzzy import fuzzy_locator
 from attesta.settings import CLAIMS, ClaimSettings
 
 
+BLANKS = (
+    "\t", "\n", "\x0b", "\x0c", "\r", " ", "\x85", "\xa0", "\u1680", *[chr(c) for c in range(0x2000, 0x200B)],
+    "\u2028", "\u2029", "\u202f", "\u205f", "\u3000",
+)
+
+
 def offsets(text: Column) -> Column:
-    """Array: source position of every character of ``normalize_quote(text)``."""
-    chars = F.split(F.translate(text, fv.QUOTE_CHARS_FROM, fv.QUOTE_CHARS_TO), "")
-    space = lambda c: c.rlike(r"(?U)^\s$")
+    """Array: source position of every character of ``normalize_quote(text)``.
+
+    Each character is paired with its predecessor by one ``zip_with``, so the
+    whole map is linear in the text.
+    """
+    chars = F.split(text, "")
+    pairs = F.zip_with(chars, F.concat(F.array(F.lit(" ")), chars), lambda c, p: F.struct(c.alias("c"), p.alias("p")))
+    placed = F.transform(pairs, lambda s, i: F.struct(s["c"].alias("c"), s["p"].alias("p"), (i + 1).alias("at")))
+    kept = F.filter(placed, lambda s: s["c"].isNotNull() & ~(s["c"].isin(*BLANKS) & s["p"].isin(*BLANKS)))
     wide = [source for source, _ in fv.QUOTE_EXPANSIONS]
-    marked = F.transform(
-        chars,
-        lambda c, i: F.struct(
-            (i + 1).alias("at"), space(c).alias("blank"), c.isin(*wide).alias("wide"),
-            F.when(i > 0, space(F.get(chars, i - 1))).otherwise(F.lit(True)).alias("after_blank"),
-        ),
-    )
-    kept = F.filter(marked, lambda m: ~(m["blank"] & m["after_blank"]))
-    return F.flatten(F.transform(kept, lambda m: F.when(m["wide"], F.array(m["at"], m["at"])).otherwise(F.array(m["at"]))))
+    return F.flatten(F.transform(kept, lambda s: F.when(s["c"].isin(*wide), F.array(s["at"], s["at"])).otherwise(F.array(s["at"]))))
 
 
-def _source_piece(text: Column, first: Column, last: Column) -> Column:
-    """Source substring behind normalised positions first..last (1-based, inclusive)."""
-    where = offsets(text)
-    start, stop = F.get(where, first - 1), F.get(where, last - 1)
-    return F.substring(text, start, stop - start + 1)
+def _with_piece(df: DataFrame, needed: Column, first: Column, last: Column) -> DataFrame:
+    """Add ``_piece``: the source substring behind normalised positions first..last (1-based, inclusive)."""
+    mapped = df.withColumn("_map", F.when(needed, offsets(F.col("_span")))).withColumn("_from", F.get("_map", first - 1))
+    return mapped.withColumn("_piece", F.substring(F.col("_span"), F.col("_from"), F.get("_map", last - 1) - F.col("_from") + 1))
 
 
 def locate_quotes(
@@ -55,24 +58,27 @@ def locate_quotes(
     ).withColumn("_norm", F.when(F.col("_stage") == "open", X.normalize_quote("_span"))).withColumn(
         "_want", F.when(F.col("_stage") == "open", X.normalize_quote("_quote"))
     ).withColumn("_at", F.when((F.col("_stage") == "open") & (F.col("_want") != ""), F.instr("_norm", F.col("_want"))).otherwise(0))
-    settled = staged.where((F.col("_stage") != "open") | (F.col("_at") > 0))
-    piece = _source_piece(F.col("_span"), F.col("_at"), F.col("_at") + F.length("_want") - 1)
-    method = F.when(F.col("_at") > 0, "normalized").otherwise(F.col("_stage"))
+    open_miss = (F.col("_stage") == "open") & (F.col("_at") == 0)
+    settled = _with_piece(
+        staged.where(~open_miss) if fuzzy else staged,
+        F.col("_at") > 0, F.col("_at"), F.col("_at") + F.length("_want") - 1,
+    )
+    method = F.when(F.col("_at") > 0, "normalized").when(F.col("_stage") == "open", "failed").otherwise(F.col("_stage"))
     done = settled.select(
         *columns, method.alias("method"),
         F.when(method != "failed", F.lit(1.0)).alias("similarity"),
-        F.when(F.col("_at") > 0, piece).when(F.col("_stage") == "exact", F.col("_quote")).alias("located"),
+        F.when(F.col("_at") > 0, F.col("_piece")).when(F.col("_stage") == "exact", F.col("_quote")).alias("located"),
     )
-    residual = staged.where((F.col("_stage") == "open") & (F.col("_at") == 0))
     if not fuzzy:
-        rest = residual.select(*columns, F.lit("failed").alias("method"), F.lit(None).cast("double").alias("similarity"),
-                               F.lit(None).cast("string").alias("located"))
-        return done.unionByName(rest)
+        return done
+    # Spread the residual evenly: the Python step is the only costly one and a broadcast join keeps the input's splits.
+    residual = staged.where(open_miss).repartition("paper_id", "span_id", "_quote")
     found = residual.withColumn("_hit", fuzzy_locator(settings.min_fuzzy_ratio, least)(F.col("_norm"), F.col("_want")))
     hit = F.col("_hit.start").isNotNull()
+    found = _with_piece(found, hit, F.col("_hit.start") + 1, F.col("_hit.stop"))
     near = found.select(
         *columns, F.when(hit, "fuzzy").otherwise("failed").alias("method"), F.col("_hit.similarity").alias("similarity"),
-        F.when(hit, _source_piece(F.col("_span"), F.col("_hit.start") + 1, F.col("_hit.stop"))).alias("located"),
+        F.when(hit, F.col("_piece")).alias("located"),
     )
     return done.unionByName(near)
 

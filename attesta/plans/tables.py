@@ -22,6 +22,12 @@ IMPORTANCE = ("central", "supporting", "minor")
 CONTESTANTS = 12
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give a scan with fewer splits than cores one split per core; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 @dataclass(frozen=True)
 class Tables:
     """Lazy access to one data folder."""
@@ -37,7 +43,7 @@ class Tables:
     def span(self) -> DataFrame:
         """One row per non-blank line of a document."""
         return (
-            self.read("documents")
+            spread(self.read("documents"), "doc_id")
             .select(F.col("doc_id").alias("doc_no"), "lang", "source", F.posexplode(F.split("text", "\n")).alias("_i", "text"))
             .where(F.col("text").rlike(r"\S"))
             .select(
