@@ -287,9 +287,9 @@ def _legacy(t):
 
 
 @query("lnk_19_exact_reference_matching", f"""
-WITH s AS (SELECT source AS paper_id, doc_no * 1000 + pos AS pos, doc_no % 2 AS side, lower({D.collapse('text')}) AS f FROM f_span)
+WITH s AS (SELECT source AS paper_id, doc_no * 1000 + pos AS pos, doc_no // 20 % 2 AS side, lower({D.collapse('text')}) AS f FROM f_span)
 SELECT l.paper_id, l.pos, r.p AS match_pos, CASE WHEN r.p IS NULL THEN 'none' ELSE 'semantic_equivalent' END AS relation
 FROM s l LEFT JOIN (SELECT paper_id, f, min(pos) AS p FROM s WHERE side = 1 GROUP BY paper_id, f) r ON r.paper_id = l.paper_id AND r.f = l.f WHERE l.side = 0""")
 def _exact(t):
-    base = t.span.select(F.col("source").alias("paper_id"), (F.col("doc_no") * 1000 + F.col("pos")).alias("pos"), F.col("text").alias("statement"), (F.col("doc_no") % 2).alias("side"))
+    base = t.span.select(F.col("source").alias("paper_id"), (F.col("doc_no") * 1000 + F.col("pos")).alias("pos"), F.col("text").alias("statement"), (F.floor(F.col("doc_no") / 20) % 2).alias("side"))
     return L.exact_matches(base.where("side = 0"), base.where("side = 1"))
