@@ -305,3 +305,13 @@ def batch_outcome(scores: DataFrame, failed_papers: DataFrame, settings: PayoutS
         F.lit(settings.winner_share).alias("winner_share"), F.lit(settings.runner_up_slots).alias("runner_up_slots"),
         F.lit(settings.runner_up_decay).alias("runner_up_decay"),
     )
+
+
+def rank_by_score(rows: DataFrame, score: str) -> DataFrame:
+    """Competition rank per distinct score value: 1 + number of rows with a higher score.
+
+    The ordered pass sees one row per distinct score (at most 10,001), not one per row.
+    """
+    counts = rows.groupBy(score).agg(F.count("*").alias("_n"))
+    above = F.sum("_n").over(W.orderBy(F.col(score).desc()).rowsBetween(W.unboundedPreceding, -1))
+    return counts.select(score, (F.coalesce(above, F.lit(0)) + 1).alias("rank"))

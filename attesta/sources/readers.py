@@ -22,12 +22,11 @@ TASK_SCHEMA = """
 
 # Section type by heading, first pattern that hits: fixed values.
 SECTION_HEADS = (
-    ("ABSTRACT", r"(?i)abstract"),
-    ("INTRO", r"(?i)intro"),
-    ("METHODS", r"(?i)method|material"),
-    ("RESULTS", r"(?i)result"),
-    ("DISCUSSION", r"(?i)discuss"),
-    ("CONCLUSION", r"(?i)conclu"),
+    ("ABSTRACT", r"(?i)^abstract"),
+    ("INTRO", r"(?i)^(intro|background|overview)"),
+    ("METHODS", r"(?i)^(materials and methods|methods|patients and methods|methodology)"),
+    ("RESULTS", r"(?i)^(results|findings|results and discussion)"),
+    ("DISCUSSION", r"(?i)^(discussion|conclusion|conclusions)"),
 )
 
 
