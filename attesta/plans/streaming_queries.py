@@ -33,8 +33,9 @@ def scratch(t, name: str) -> str:
 
 
 def event_stream(t) -> DataFrame:
-    schema = t.read("events").schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(t.folder)
+    schema = t.spark.read.parquet(f"{t.folder}/events.parquet").schema
+    stream = t.spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(t.folder)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("str_01_rate_limit", LIMIT_FOLD)
@@ -133,7 +134,7 @@ WITH s AS (SELECT user_id % 5 AS host, ts, event_id, value FROM events WHERE eve
 i AS (SELECT i.host, i.interval_id, count(*) AS samples, arg_min(value, (s.ts, event_id)) AS first_value, arg_max(value, (s.ts, event_id)) AS last_value, max(value) AS peak, min(value) AS low
   FROM f_interval_of i JOIN s ON s.host = i.host AND s.ts BETWEEN started AND ended GROUP BY i.host, i.interval_id),
 n AS (SELECT x.host, x.interval_id, arg_min(value, (abs(epoch_us(s.ts) - (epoch_us(started) + epoch_us(ended)) / 2), s.ts, event_id)) AS v
-  FROM f_interval_of x JOIN s ON s.host = x.host AND abs(epoch_us(s.ts) - (epoch_us(started) + epoch_us(ended)) / 2) <= 2 * 1800 * 1000000
+  FROM f_interval_of x JOIN s ON s.host = x.host AND abs(epoch_us(s.ts) - (epoch_us(started) + epoch_us(ended)) / 2) <= 3600000000
   WHERE (x.host, x.interval_id) NOT IN (SELECT (host, interval_id) FROM i) GROUP BY x.host, x.interval_id)
 SELECT * FROM i UNION ALL SELECT host, interval_id, 1, v, v, v, v FROM n""", {"f_interval_of": INTERVALS})
 def _intervals(t):

@@ -36,7 +36,8 @@ class Tables:
     folder: str
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return table.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else table
 
     # ---- documents -> spans and claims
     @cached_property

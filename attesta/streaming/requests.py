@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from attesta.operators.frames import previous, running_total
+
 
 def rate_limited(requests: DataFrame, limit: int, window_seconds: int) -> DataFrame:
     """Batch twin: accepted flag per request; only accepted requests count against the limit.
@@ -23,10 +24,11 @@ def rate_limited(requests: DataFrame, limit: int, window_seconds: int) -> DataFr
     width = window_seconds * 1_000_000
     keyed = requests.where(F.coalesce(F.col("key").cast("string"), F.lit("")) != "")
     free = requests.join(keyed.select("request_id"), "request_id", "left_anti").withColumn("accepted", F.lit(True))
-    order = W.partitionBy("key").orderBy("ts", "request_id")
-    micros = keyed.withColumn("_t", F.unix_micros("ts"))
-    opened = micros.withColumn("_new", F.when(F.col("_t") - F.lag("_t").over(order) < width, 0).otherwise(1))
-    stretch = opened.withColumn("_stretch", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    bucket = max(width, 3_600_000_000)
+    micros = previous(keyed.withColumn("_t", F.unix_micros("ts")), ["key"], "_t", "_t", "_before", bucket)
+    opened = micros.withColumn("_new", F.when(F.col("_t") - F.col("_before") < width, 0).otherwise(1))
+    stretch = running_total(opened, ["key"], ["_t"], "_new", "_stretch", bucket).withColumn(
+        "_stretch", F.col("_stretch") + F.col("_new"))
     grouped = stretch.groupBy("key", "_stretch").agg(
         F.array_sort(F.collect_list(F.struct("_t", "request_id"))).alias("_r"))
     start = F.struct(F.array().cast("array<bigint>").alias("recent"), F.array().cast("array<struct<request_id:bigint,accepted:boolean>>").alias("out"))
