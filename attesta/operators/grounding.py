@@ -9,6 +9,7 @@ from attesta.functions import fixed_values as fv
 from attesta.functions import numbers as N
 from attesta.functions import text as X
 from attesta.operators.fuzzy import fuzzy_locator
+from attesta.session import cut_lineage
 from attesta.settings import CLAIMS, ClaimSettings
 
 
@@ -221,15 +222,16 @@ def find_passages(spans: DataFrame, passages: DataFrame, size: int = 8) -> DataF
     padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     wanted = passages.select("passage_id", X.normalize_quote("text").alias("_p")).where(F.col("_p") != "").withColumn(
         "_words", F.split("_p", " ")).withColumn("_k", F.least(F.size("_words"), F.lit(size)))
+    # Windows are hashed: a key only proposes a span, the text itself decides.
     windows = lambda words, k: F.transform(
-        F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.array_join(F.slice(words, i, k), " "))
+        F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.xxhash64(F.slice(words, i, k)))
     keys = wanted.select("passage_id", "_k", F.explode(F.array_distinct(windows(F.col("_words"), F.col("_k")))).alias("_key"))
     lengths = F.array_sort(F.collect_set("_k"))
     needed = wanted.agg(lengths).scalar()
     texts = spans.select("paper_id", "span_id", X.normalize_quote("text").alias("_n")).where(F.col("_n") != "")
     words = texts.withColumn("_words", F.split("_n", " ")).withColumn("_k", F.explode(needed)).where(F.size("_words") >= F.col("_k"))
     grams = words.select("paper_id", "span_id", "_k", F.explode(F.array_distinct(windows(F.col("_words"), F.col("_k")))).alias("_key"))
-    live = grams.join(keys.select("_k", "_key").distinct(), ["_k", "_key"], "left_semi")
+    live = cut_lineage(grams.join(keys.select("_k", "_key").distinct(), ["_k", "_key"], "left_semi"))
     frequency = live.groupBy("_k", "_key").agg(F.count("*").alias("_f"))
     rarest = keys.join(frequency, ["_k", "_key"], "left").groupBy("passage_id", "_k").agg(
         F.min_by("_key", F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "_key")).alias("_key"))

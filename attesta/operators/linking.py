@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attesta.functions import fixed_values as fv
 from attesta.functions import text as X
 from attesta.operators.frames import stack_checks, top_rows
+from attesta.session import cut_lineage
 
 
 # ---------------------------------------------------------------- retrieval
@@ -22,29 +23,30 @@ def retrieve_evidence(claims: DataFrame, candidates: DataFrame, k: int = 25) ->
     sets) are compared once: a term set keeps its first ``k`` candidates, which
     is all that a claim can take from it.
     """
-    sets = claims.select("paper_id", F.array_sort("terms").alias("c_terms")).distinct().withColumn(
-        "c_key", F.xxhash64("paper_id", F.array_join("c_terms", "\u0001")))
-    texts = candidates.select("paper_id", "pos", "candidate_id", F.array_sort("terms").alias("e_terms"))
+    hashed = F.array_sort(F.transform("terms", lambda t: F.xxhash64(t)))
+    asked = claims.select("paper_id", "claim_pos", "claim_id", hashed.alias("c_terms"))
+    sets = asked.groupBy("paper_id", "c_terms").agg(F.min("claim_pos").alias("c_set"))
+    texts = candidates.select("paper_id", "pos", "candidate_id", hashed.alias("e_terms"))
     firsts = top_rows(texts, ["paper_id", "e_terms"], [F.col("pos")], k)
     groups = firsts.groupBy("paper_id", "e_terms").agg(F.min("pos").alias("e_pos"))
-    left = sets.select("paper_id", "c_terms", F.explode("c_terms").alias("term"))
+    left = sets.select("paper_id", "c_set", F.size("c_terms").alias("c_size"), F.explode("c_terms").alias("term"))
     right = groups.select("paper_id", "e_pos", F.explode("e_terms").alias("term"))
-    shared = left.join(right, ["paper_id", "term"]).groupBy("paper_id", "c_terms", "e_pos").agg(F.count("*").alias("n"))
-    scored = shared.withColumn("score", F.col("n") / F.size("c_terms"))
-    best_sets = top_rows(scored, ["paper_id", "c_terms"], [F.col("score").desc(), F.col("e_pos")], k)
+    shared = left.join(right, ["paper_id", "term"]).groupBy("paper_id", "c_set", "c_size", "e_pos").agg(F.count("*").alias("n"))
+    scored = shared.select("paper_id", "c_set", "e_pos", (F.col("n") / F.col("c_size")).alias("score"))
+    best_sets = top_rows(scored, ["paper_id", "c_set"], [F.col("score").desc(), F.col("e_pos")], k)
     members = firsts.join(groups, ["paper_id", "e_terms"]).select("paper_id", "e_pos", "pos", "candidate_id")
-    hits = best_sets.join(members, ["paper_id", "e_pos"]).select("paper_id", "c_terms", "pos", "candidate_id", "score")
-    positive = top_rows(hits, ["paper_id", "c_terms"], [F.col("score").desc(), F.col("pos")], k)
-    full = positive.groupBy("paper_id", "c_terms").agg(F.count("*").alias("_n")).where(F.col("_n") >= k)
-    lacking = sets.join(full, ["paper_id", "c_terms"], "left_anti").select("paper_id", "c_terms")
+    hits = best_sets.join(members, ["paper_id", "e_pos"]).select("paper_id", "c_set", "pos", "candidate_id", "score")
+    positive = cut_lineage(top_rows(hits, ["paper_id", "c_set"], [F.col("score").desc(), F.col("pos")], k))
+    full = positive.groupBy("paper_id", "c_set").agg(F.count("*").alias("_n")).where(F.col("_n") >= k)
+    lacking = sets.select("paper_id", "c_set").join(full, ["paper_id", "c_set"], "left_anti")
     # Fewer than k hits can hide among the first 2k candidates, so those hold enough zero rows.
     early = top_rows(texts.drop("e_terms"), ["paper_id"], [F.col("pos")], 2 * k)
     zeros = lacking.join(early, "paper_id").join(
-        positive.select("paper_id", "c_terms", "pos"), ["paper_id", "c_terms", "pos"], "left_anti").withColumn("score", F.lit(0.0))
+        positive.select("paper_id", "c_set", "pos"), ["paper_id", "c_set", "pos"], "left_anti").withColumn("score", F.lit(0.0))
     filled = top_rows(
-        positive.unionByName(zeros.select(positive.columns)), ["paper_id", "c_terms"], [F.col("score").desc(), F.col("pos")], k)
-    return claims.select("paper_id", "claim_pos", "claim_id", F.array_sort("terms").alias("c_terms")).join(
-        filled, ["paper_id", "c_terms"]).drop("c_terms")
+        positive.unionByName(zeros.select(positive.columns)), ["paper_id", "c_set"], [F.col("score").desc(), F.col("pos")], k)
+    placed = asked.join(sets, ["paper_id", "c_terms"]).select("paper_id", "claim_pos", "claim_id", "c_set")
+    return placed.join(filled, ["paper_id", "c_set"]).drop("c_set")
 
 
 def retrieved_candidates(pairs: DataFrame) -> DataFrame:
