@@ -312,3 +312,69 @@ def exact_matches(left: DataFrame, right: DataFrame) -> DataFrame:
     firsts = right.withColumn("_f", form).groupBy("paper_id", "_f").agg(F.min("pos").alias("match_pos"))
     joined = left.withColumn("_f", form).join(firsts, ["paper_id", "_f"], "left")
     return joined.select("paper_id", "pos", "match_pos", F.when(F.col("match_pos").isNull(), "none").otherwise("semantic_equivalent").alias("relation"))
+
+
+def canonical_key(key: Column, value: Column, aliases: dict[str, str]) -> Column:
+    """Alias keys to their standard name; ``evidence_basis`` splits by what its text talks about."""
+    name = X.strip(key)
+    if aliases:
+        table = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+        name = F.coalesce(F.try_element_at(table, name), name)
+    cited = F.lower(F.coalesce(value, F.lit(""))).rlike("literature|reference|cited")
+    return F.when(name == "evidence_basis", F.when(cited, "citation_context").otherwise("analysis_context")).otherwise(name)
+
+
+def route_keys(entries: DataFrame, policies: DataFrame, aliases: dict[str, str]) -> DataFrame:
+    """Free-form context and details entries to context, details or metadata by profile policy.
+
+    ``entries``: paper_id, claim_id, profile, origin (context or details), pos,
+    key, value; ``policies``: profile, area, key, policy (allowed or forbidden),
+    concept (value must be a short concept).  Details beat forbidden, which
+    beats context; of two entries for one detail the later wins, a context
+    entry is only filled from details while it is empty.
+    """
+    ids = ["paper_id", "claim_id"]
+    named = entries.where(~X.is_blank("key")).withColumn("name", canonical_key(F.col("key"), F.col("value"), aliases))
+
+    def rule(area: str) -> DataFrame:
+        return policies.where(F.col("area") == area).select(
+            "profile", F.col("key").alias("name"), F.col("policy").alias(f"{area}_policy"), F.col("concept").alias(f"{area}_concept"))
+
+    judged = named.join(rule("context"), ["profile", "name"], "left").join(rule("details"), ["profile", "name"], "left")
+    allowed = lambda area: F.coalesce(F.col(f"{area}_policy") == "allowed", F.lit(False))
+    forbidden = lambda area: F.coalesce(F.col(f"{area}_policy") == "forbidden", F.lit(False))
+    from_context = (
+        F.when(allowed("details"), "details").when(forbidden("context"), "forbidden_context")
+        .when(allowed("context"), "context").otherwise("legacy_context"))
+    from_details = (
+        F.when(forbidden("details"), "forbidden_details").when(allowed("details"), "details")
+        .when(allowed("context"), "context").otherwise("extra"))
+    order = F.struct((F.col("origin") == "details").alias("late"), "pos")
+    placed = judged.withColumn("place", F.when(F.col("origin") == "context", from_context).otherwise(from_details)).withColumn("_order", order)
+    # Context: the last context entry wins; only without one does the first details entry count, the others are extra.
+    holders = placed.where("place = 'context'").groupBy(*ids, "name").agg(
+        F.max(F.when(F.col("origin") == "context", F.col("_order"))).alias("_own"),
+        F.min(F.when(F.col("origin") == "details", F.col("_order"))).alias("_lent"))
+    settled = placed.join(holders.withColumn("_holder", F.coalesce("_own", "_lent")).drop("_own", "_lent"), [*ids, "name"], "left")
+    beaten = (F.col("place") == "context") & (F.col("origin") == "details") & (F.col("_order") != F.col("_holder"))
+    final = settled.withColumn("place", F.when(beaten, "extra").otherwise(F.col("place")))
+    # Metadata keeps the key as it was written; routed entries carry the standard name.
+    out_key = F.when(F.col("place").isin("context", "details"), F.col("name")).otherwise(F.col("key"))
+    concept = F.when(F.col("place") == "context", F.col("context_concept")).when(F.col("place") == "details", F.col("details_concept"))
+    value = F.when(F.coalesce(concept, F.lit(False)), X.short_concept("value")).otherwise(F.col("value"))
+    return final.groupBy(*ids, "place", out_key.alias("key")).agg(F.max_by(value, F.col("_order")).alias("value"))
+
+
+def claim_payload(claims: DataFrame, routed: DataFrame) -> DataFrame:
+    """Subject, predicate and object as short concepts beside the routed maps, one row per claim."""
+    ids = ["paper_id", "claim_id"]
+    area = F.when(F.col("place").isin("context", "details"), F.col("place")).otherwise("metadata")
+    name = F.when(area == "metadata", F.concat_ws(".", "place", "key")).otherwise(F.col("key"))
+    entries = routed.select(*ids, area.alias("area"), F.struct(name.alias("k"), F.col("value").alias("v")).alias("e"))
+    maps = entries.groupBy(*ids).agg(*[
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("area") == a, F.col("e"))))).alias(a)
+        for a in ("context", "details", "metadata")])
+    empty = F.create_map().cast("map<string,string>")
+    return claims.join(maps, ids, "left").select(
+        *ids, *[X.short_concept(c).alias(c) for c in ("subject", "predicate", "object")],
+        *[F.coalesce(a, empty).alias(a) for a in ("context", "details", "metadata")])

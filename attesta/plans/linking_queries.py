@@ -275,6 +275,57 @@ def _profile_gate(t):
     return L.gate_by_profile(t.claim, t.evidence, t.claim_evidence, errors, ["paper_id"])[0].select("paper_id", "claim_id")
 
 
+ENTRIES = """
+  SELECT paper_id, claim_id, CASE WHEN page % 2 = 0 THEN 'a' ELSE 'b' END AS profile, 'context' AS origin, 1 AS pos,
+    (['species', 'dosage', 'evidence_basis', 'odd'])[CAST(pos % 4 + 1 AS INTEGER)] AS key, CASE WHEN doc_no % 3 = 0 THEN 'cited work' ELSE topic END AS value FROM f_claim
+  UNION ALL SELECT paper_id, claim_id, CASE WHEN page % 2 = 0 THEN 'a' ELSE 'b' END, 'details', 1,
+    (['p_value', 'species', 'note'])[CAST(pos % 3 + 1 AS INTEGER)], claim_type FROM f_claim
+  UNION ALL SELECT paper_id, claim_id, CASE WHEN page % 2 = 0 THEN 'a' ELSE 'b' END, 'details', 2, 'species', 'value = 3' FROM f_claim"""
+ROUTED = """
+  WITH n AS (SELECT *, CASE key WHEN 'dosage' THEN 'dose' WHEN 'evidence_basis' THEN CASE WHEN contains(value, 'cited') THEN 'citation_context' ELSE 'analysis_context' END ELSE key END AS name FROM f_entry),
+  p AS (SELECT *, CASE WHEN origin = 'context' THEN CASE
+        WHEN profile = 'b' AND name = 'dose' THEN 'details' WHEN profile = 'a' AND name = 'dose' THEN 'forbidden_context'
+        WHEN (profile = 'a' AND name IN ('species', 'citation_context')) OR (profile = 'b' AND name = 'analysis_context') THEN 'context' ELSE 'legacy_context' END
+      ELSE CASE WHEN profile = 'b' AND name = 'p_value' THEN 'forbidden_details' WHEN profile = 'a' AND name = 'p_value' THEN 'details'
+        WHEN profile = 'a' AND name = 'species' THEN 'context' ELSE 'extra' END END AS place, CASE origin WHEN 'details' THEN 10 ELSE 0 END + pos AS o FROM n),
+  h AS (SELECT *, CASE WHEN place = 'context' AND origin = 'details' AND o <> min(o) FILTER (place = 'context') OVER (PARTITION BY paper_id, claim_id, name) THEN 'extra' ELSE place END AS final FROM p)
+  SELECT paper_id, claim_id, final AS place, CASE WHEN final IN ('context', 'details') THEN name ELSE key END AS key,
+    arg_max(CASE WHEN final = 'context' AND name = 'species' AND contains(value, '=') THEN '' ELSE value END, o) AS value
+  FROM h GROUP BY paper_id, claim_id, final, CASE WHEN final IN ('context', 'details') THEN name ELSE key END"""
+
+
+def routed(t):
+    pick = lambda names, k: F.element_at(F.array(*[F.lit(n) for n in names]), (k + 1).cast("int"))
+    base = ["paper_id", "claim_id", F.when(F.col("page") % 2 == 0, "a").otherwise("b").alias("profile")]
+    entry = lambda origin, pos, key, value: F.struct(F.lit(origin).alias("origin"), F.lit(pos).alias("pos"), key.alias("key"), value.alias("value"))
+    entries = t.claim.select(*base, F.inline(F.array(
+        entry("context", 1, pick(("species", "dosage", "evidence_basis", "odd"), F.col("pos") % 4), F.when(F.col("doc_no") % 3 == 0, "cited work").otherwise(F.col("topic"))),
+        entry("details", 1, pick(("p_value", "species", "note"), F.col("pos") % 3), F.col("claim_type")),
+        entry("details", 2, F.lit("species"), F.lit("value = 3")))))
+    rules = [("a", "context", "species", "allowed", True), ("a", "context", "citation_context", "allowed", False), ("a", "context", "dose", "forbidden", False),
+             ("a", "details", "p_value", "allowed", False), ("b", "details", "dose", "allowed", False), ("b", "details", "p_value", "forbidden", False),
+             ("b", "context", "analysis_context", "allowed", False)]
+    policy = t.spark.createDataFrame(rules, "profile string, area string, key string, policy string, concept boolean")
+    return L.route_keys(entries, policy, {"dosage": "dose"})
+
+
+@query("lnk_16_key_routing", "SELECT * FROM f_routed", {"f_entry": ENTRIES, "f_routed": ROUTED})
+def _routing(t):
+    return routed(t)
+
+
+@query("lnk_17_claim_payload", """
+SELECT c.paper_id, c.claim_id, c.topic AS subject, coalesce(string_agg(CASE WHEN place IN ('context', 'details') THEN place || '.' || key ELSE 'metadata.' || place || '.' || key END || '=' || value, ';'
+  ORDER BY CASE WHEN place IN ('context', 'details') THEN place || '.' || key ELSE 'metadata.' || place || '.' || key END), '') AS payload
+FROM f_claim c LEFT JOIN f_routed r ON r.paper_id = c.paper_id AND r.claim_id = c.claim_id GROUP BY c.paper_id, c.claim_id, c.topic""", {"f_entry": ENTRIES, "f_routed": ROUTED})
+def _payload(t):
+    claims = t.claim.select("paper_id", "claim_id", F.concat("topic", F.lit(".")).alias("subject"), F.col("status").alias("predicate"), F.col("claim_type").alias("object"))
+    wide = L.claim_payload(claims, routed(t))
+    listed = lambda area: F.transform(F.map_entries(area), lambda e: F.concat(F.lit(area + "."), e["key"], F.lit("="), e["value"]))
+    parts = [listed(area) for area in ("context", "details", "metadata")]
+    return wide.select("paper_id", "claim_id", "subject", F.array_join(F.concat(*parts), ";").alias("payload"))
+
+
 @query("lnk_18_legacy_evidence_type", """
 SELECT event_id, CASE WHEN user_id % 6 = 0 THEN 'given' WHEN event_type IN ('view', 'click', 'error') THEN 'observation' WHEN event_type = 'signup' THEN NULL ELSE event_type END AS method,
   CASE WHEN user_id % 6 = 0 THEN NULL WHEN event_type IN ('view', 'click') THEN 'quantitative_measure' END AS outcome,
