@@ -192,32 +192,61 @@ def section_runs(spans: DataFrame) -> DataFrame:
     return numbered.withColumn("_run", F.col("_run") + F.col("_start")).drop("_start")
 
 
-def fallback_chunks(runs: DataFrame, max_chars: int, max_spans: int) -> DataFrame:
+def fallback_chunks(runs: DataFrame, max_chars: int, max_spans: int, slot: int = 1024) -> DataFrame:
     """Cut unreliable runs into chunks of at most ``max_spans`` spans and ``max_chars`` characters.
 
-    Within a run the cut depends on where the last chunk began, which no window
-    frame expresses; it is an ordered fold over (length) of the run's spans, so
-    only positions and lengths enter the fold and never the texts.
+    Where a chunk begins depends on where the last one did, so this is a fold in
+    span order; but a run may hold much of the table, so it is cut into slots of
+    positions.  A chunk open at a slot's start takes at most ``max_spans - 1`` of
+    its spans.  Each slot works out its closing state for each such number, the
+    run then only chains these few states slot by slot, and every slot finishes
+    on its own.  Only positions and lengths take part, never texts.
     """
-    loose = runs.where(~F.col("_title.reliable"))
-    folded = loose.groupBy("paper_id", "_run").agg(F.array_sort(F.collect_list(F.struct("pos", "_len"))).alias("_items"))
-    start = F.struct(
-        F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("chunk"),
-        F.array().cast("array<struct<pos:int,chunk:int>>").alias("out"),
-    )
-
-    def step(acc: Column, item: Column) -> Column:
-        opens = (acc["n"] == 0) | (acc["n"] >= max_spans) | (acc["used"] + item["_len"] > max_chars)
-        chunk = F.when(opens, acc["chunk"] + 1).otherwise(acc["chunk"])
-        return F.struct(
-            F.when(opens, 1).otherwise(acc["n"] + 1).alias("n"),
-            F.when(opens, item["_len"].cast("bigint")).otherwise(acc["used"] + item["_len"]).alias("used"),
-            chunk.alias("chunk"),
-            F.concat(acc["out"], F.array(F.struct(item["pos"].alias("pos"), chunk.alias("chunk")))).alias("out"),
-        )
-
-    cut = folded.select("paper_id", F.explode(F.aggregate("_items", start, step, lambda acc: acc["out"])).alias("_c"))
-    return cut.select("paper_id", F.col("_c.pos").alias("pos"), F.col("_c.chunk").alias("_chunk"))
+    loose = runs.where(~F.col("_title.reliable")).withColumn("_slot", F.floor(F.col("pos") / slot))
+    keys = ["paper_id", "_run", "_slot"]
+    slots = loose.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", F.col("_len").cast("bigint").alias("len")))).alias("_items"))
+    state = "struct<n:int,used:bigint,start:int>"
+    fresh = F.lit(None).cast("int")
+    closed = F.struct(F.lit(0).alias("n"), F.lit(0).cast("bigint").alias("used"), fresh.alias("start")).cast(state)
+
+    def take(acc: Column, item: Column) -> Column:
+        opens = (acc["n"] == 0) | (acc["n"] >= max_spans) | (acc["used"] + item["len"] > max_chars)
+        return F.when(opens, F.struct(F.lit(1).alias("n"), item["len"].alias("used"), item["pos"].alias("start"))).otherwise(
+            F.struct((acc["n"] + 1).alias("n"), (acc["used"] + item["len"]).alias("used"), acc["start"].alias("start"))).cast(state)
+
+    rest = lambda items, taken: F.slice(items, taken + 1, F.size(items))
+    ends = F.transform(
+        F.sequence(F.lit(0), F.least(F.size("_items"), F.lit(max_spans)) - 1),
+        lambda taken: F.aggregate(rest(F.col("_items"), taken), closed, take))
+    heads = F.transform(F.slice("_items", 1, max(max_spans - 1, 1)), lambda x: x["len"])
+    summary = slots.select(*keys, F.size("_items").alias("size"), heads.alias("heads"), ends.alias("ends"))
+    chain = summary.groupBy("paper_id", "_run").agg(F.array_sort(F.collect_list(F.struct("_slot", "size", "heads", "ends"))).alias("_chain"))
+
+    def enter(acc: Column, part: Column) -> Column:
+        total = lambda k: F.aggregate(F.slice(part["heads"], F.lit(1), k), F.lit(0).cast("bigint"), lambda a, x: a + x)
+        fits = F.filter(
+            F.sequence(F.lit(1), F.size(part["heads"])),
+            lambda k: (acc["open"]["n"] + k <= max_spans) & (acc["open"]["used"] + total(k) <= max_chars))
+        taken = F.when(acc["open"]["n"] == 0, 0).otherwise(F.size(fits))
+        swallowed = F.struct(
+            (acc["open"]["n"] + taken).alias("n"), (acc["open"]["used"] + total(taken)).alias("used"), acc["open"]["start"].alias("start")).cast(state)
+        after = F.when(taken >= part["size"], swallowed).otherwise(F.get(part["ends"], taken))
+        row = F.struct(part["_slot"].alias("_slot"), taken.alias("taken"), acc["open"]["start"].alias("start"))
+        return F.struct(after.alias("open"), F.concat(acc["out"], F.array(row)).alias("out"))
+
+    begin = F.struct(closed.alias("open"), F.array().cast("array<struct<_slot:bigint,taken:int,start:int>>").alias("out"))
+    entries = chain.select("paper_id", "_run", F.inline(F.aggregate("_chain", begin, enter, lambda acc: acc["out"])))
+
+    def place(acc: Column, item: Column) -> Column:
+        now = take(acc["open"], item)
+        return F.struct(now.alias("open"), F.concat(acc["out"], F.array(F.struct(item["pos"].alias("pos"), now["start"].alias("chunk")))).alias("out"))
+
+    first = F.struct(closed.alias("open"), F.array().cast("array<struct<pos:int,chunk:int>>").alias("out"))
+    joined = slots.join(entries, keys)
+    carried = F.transform(F.slice("_items", F.lit(1), F.col("taken")), lambda x: F.struct(x["pos"].alias("pos"), F.col("start").alias("chunk")))
+    own = F.aggregate(rest(F.col("_items"), F.col("taken")), first, place, lambda acc: acc["out"])
+    return joined.select("paper_id", F.explode(F.concat(carried, own)).alias("_c")).select(
+        "paper_id", F.col("_c.pos").alias("pos"), F.col("_c.chunk").alias("_chunk"))
 
 
 def section_inventory(

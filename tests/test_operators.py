@@ -64,6 +64,24 @@ def test_sections_cut_fallback_runs(spark):
     assert found[1].section_name == "fallback_section_001_pages_3_4"
 
 
+@pytest.mark.parametrize("slot", [1, 2, 5, 1024])
+def test_fallback_chunks_equal_sequential(spark, slot):
+    rnd = random.Random(slot)
+    rows = []
+    for paper in range(8):
+        for pos in sorted(rnd.sample(range(1, 60), 35)):
+            rows.append((f"p{paper}", 1 + pos // 30, pos, rnd.choice([0, 5, 30, 60, 95, 120])))
+    df = spark.createDataFrame(rows, "paper_id string, _run int, pos int, _len int").withColumn("_title", F.struct(F.lit(False).alias("reliable")))
+    want, key, n, used, start = {}, None, 0, 0, 0
+    for paper, run, pos, size in rows:
+        if key != (paper, run) or n >= 4 or used + size > 100:
+            n, used, start = 0, 0, pos
+        key, n, used = (paper, run), n + 1, used + size
+        want[(paper, pos)] = start
+    found = docs.fallback_chunks(df, 100, 4, slot).collect()
+    assert {(r.paper_id, r.pos): r._chunk for r in found} == want
+
+
 def test_payout_ties_share(spark):
     df = spark.createDataFrame([("a", 0.9), ("b", 0.9), ("c", 0.5), ("d", 0.0)], "contestant string, batch_score double")
     paid = {r.contestant: r.payout_weight for r in scoring.winner_takes_most(df).collect()}
