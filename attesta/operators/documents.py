@@ -219,7 +219,10 @@ def fallback_chunks(runs: DataFrame, max_chars: int, max_spans: int, slot: int =
         F.sequence(F.lit(0), F.least(F.size("_items"), F.lit(max_spans)) - 1),
         lambda taken: F.aggregate(rest(F.col("_items"), taken), closed, take))
     heads = F.transform(F.slice("_items", 1, max(max_spans - 1, 1)), lambda x: x["len"])
-    summary = slots.select(*keys, F.size("_items").alias("size"), heads.alias("heads"), ends.alias("ends"))
+    # Only runs that span several slots need the chain.
+    several = slots.groupBy("paper_id", "_run").agg(F.count("*").alias("_n")).where("_n > 1")
+    long_runs = slots.join(several, ["paper_id", "_run"], "left_semi")
+    summary = long_runs.select(*keys, F.size("_items").alias("size"), heads.alias("heads"), ends.alias("ends"))
     chain = summary.groupBy("paper_id", "_run").agg(F.array_sort(F.collect_list(F.struct("_slot", "size", "heads", "ends"))).alias("_chain"))
 
     def enter(acc: Column, part: Column) -> Column:
@@ -242,7 +245,7 @@ def fallback_chunks(runs: DataFrame, max_chars: int, max_spans: int, slot: int =
         return F.struct(now.alias("open"), F.concat(acc["out"], F.array(F.struct(item["pos"].alias("pos"), now["start"].alias("chunk")))).alias("out"))
 
     first = F.struct(closed.alias("open"), F.array().cast("array<struct<pos:int,chunk:int>>").alias("out"))
-    joined = slots.join(entries, keys)
+    joined = slots.join(entries, keys, "left").withColumn("taken", F.coalesce("taken", F.lit(0)))
     carried = F.transform(F.slice("_items", F.lit(1), F.col("taken")), lambda x: F.struct(x["pos"].alias("pos"), F.col("start").alias("chunk")))
     own = F.aggregate(rest(F.col("_items"), F.col("taken")), first, place, lambda acc: acc["out"])
     return joined.select("paper_id", F.explode(F.concat(carried, own)).alias("_c")).select(
