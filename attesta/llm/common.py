@@ -88,3 +88,27 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     stars = links.groupBy("u").agg(F.min("v").alias("component"))
     roots = stars.select(F.col("component").alias("node"), "component").distinct()
     return stars.select(F.col("u").alias("node"), "component").union(roots)
+
+
+def char_grams(words: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the character n-grams of each word written as ``<word>``, and the word each belongs to."""
+    if not len(words):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    framed = "".join([f"<{w}>" for w in words])
+    points = np.frombuffer(framed.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    lengths = np.fromiter((len(w) + 2 for w in words), np.int64, len(words))
+    owner = np.repeat(np.arange(len(words)), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))  # characters up to the word's end
+    hashes, owners = [], []
+    for n in sizes:
+        if len(points) < n:
+            continue
+        h = np.full(len(points) - n + 1, n, np.uint64)
+        for i in range(n):
+            h = h * np.uint64(0x100000001B3) + points[i:len(points) - n + 1 + i]
+        keep = left[:len(h)] >= n
+        hashes.append(h[keep])
+        owners.append(owner[:len(h)][keep])
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return mix64(np.concatenate(hashes)), np.concatenate(owners)

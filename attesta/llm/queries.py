@@ -37,3 +37,10 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     from attesta.llm.mixing import mix_report
 
     return mix_report(table(spark, folder, "documents"))
+
+
+@query("op5_subword_quality")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    from attesta.llm.quality import score_documents
+
+    return score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
