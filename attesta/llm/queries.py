@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -44,3 +45,39 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     from attesta.llm.quality import score_documents
 
     return score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_line_windows", """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                  generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE text IS NOT NULL),
+said AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS o FROM l WHERE trim(line) <> ''),
+w AS (SELECT doc_id, o, line || chr(10) || lead(line, 1) OVER p || chr(10) || lead(line, 2) OVER p AS k
+      FROM said WINDOW p AS (PARTITION BY doc_id ORDER BY o)),
+ranked AS (SELECT doc_id, o, row_number() OVER (PARTITION BY k ORDER BY doc_id, o) AS nth FROM w WHERE k IS NOT NULL),
+covered AS (SELECT DISTINCT doc_id, o + g AS o FROM ranked, (SELECT unnest([0, 1, 2]) AS g) WHERE nth > 1),
+-- a blank line goes when the lines around it that are not blank both go
+judged AS (SELECT l.doc_id, l.i, l.line, s.o, c.o IS NOT NULL AS gone FROM l
+           LEFT JOIN said s ON s.doc_id = l.doc_id AND s.i = l.i LEFT JOIN covered c ON c.doc_id = s.doc_id AND c.o = s.o),
+around AS (SELECT *, last_value(CASE WHEN o IS NOT NULL THEN gone END IGNORE NULLS)
+                         OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS before,
+                  first_value(CASE WHEN o IS NOT NULL THEN gone END IGNORE NULLS)
+                         OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM judged),
+final AS (SELECT doc_id, i, line, coalesce(CASE WHEN o IS NULL THEN before AND after ELSE gone END, false) AS gone FROM around),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS opens FROM final),
+per AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans,
+               coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept FROM edges GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(n_removed, 0)::INT AS n_removed,
+       coalesce(n_spans, 0)::INT AS n_spans, sha256(kept) AS kept_sha256
+FROM documents d LEFT JOIN per USING (doc_id)""")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    from attesta.llm.line_windows import drop_repeated_lines
+
+    done = drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op9_vector_cells")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    from attesta.llm.vector_dedup import dedup_vectors
+
+    return dedup_vectors(table(spark, folder, "embeddings"))
