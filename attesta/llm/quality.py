@@ -121,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, s: QualitySettings = QualitySettin
     share = usable.agg(F.avg("quality").alias("p")).first()["p"]
     rows = training_rows(docs, labels, s).repartition(8, "doc_id").mapInPandas(
         sparse_rows, "doc_id long, y int, at array<int>, n array<float>")
-    sample = rows.orderBy("doc_id").toPandas() if share is not None else pd.DataFrame()
+    sample = rows.toArrow().to_pandas().sort_values("doc_id") if share is not None else pd.DataFrame()
     return fit(sample, s, share)
 
 

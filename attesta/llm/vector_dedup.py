@@ -100,7 +100,7 @@ def link_vectors(classes: DataFrame, s: VectorSettings) -> DataFrame:
     """(id, links, label) from every pair of blocks that found links: partial link counts, and a joined id."""
     n = classes.count()
     cells = int(min(max(n // s.per_cell, 1), s.most_cells))
-    sample = classes.orderBy(F.xxhash64("id")).limit(cells * s.sample_per_cell).toPandas()
+    sample = classes.orderBy(F.xxhash64("id")).limit(cells * s.sample_per_cell).toArrow().to_pandas()
     length = int(sample["x"].map(len).mode().iloc[0]) if len(sample) else 1
     fit = sample[sample["x"].map(len) == length]
     centres = fit_cells(unit_rows(fit["x"]), min(cells, len(fit)), s.rounds) if len(fit) else np.zeros((1, 1))
