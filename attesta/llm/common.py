@@ -112,3 +112,22 @@ def char_grams(words: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, n
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     return mix64(np.concatenate(hashes)), np.concatenate(owners)
+
+
+def key_filter(keys: DataFrame, column: str, bits: int = 24) -> np.ndarray:
+    """A bitmap of 2**bits bits with a bit set for every key's low bits: at most 2**bits / 8 bytes whatever the input.
+
+    It only ever lets too many rows through, so an exact join must follow it.
+    """
+    low = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
+    words = keys.select(F.shiftright(low, 15).alias("w"), low.bitwiseAND(F.lit(32767)).alias("b"))
+    made = words.groupBy("w").agg(F.bitmap_construct_agg("b").alias("bits"))
+    out = np.zeros((1 << max(bits - 15, 0), 4096), np.uint8)
+    for row in made.toLocalIterator():
+        out[row["w"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel()
+
+
+def passes(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    low = keys.astype(np.uint64) & np.uint64(len(bitmap) * 8 - 1)
+    return (bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1

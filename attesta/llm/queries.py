@@ -81,3 +81,10 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     from attesta.llm.vector_dedup import dedup_vectors
 
     return dedup_vectors(table(spark, folder, "embeddings"))
+
+
+@query("op6_order_minhash")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    from attesta.llm.order_minhash import group_documents
+
+    return group_documents(table(spark, folder, "documents"))
