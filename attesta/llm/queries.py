@@ -88,3 +88,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     from attesta.llm.order_minhash import group_documents
 
     return group_documents(table(spark, folder, "documents"))
+
+
+@query("op7_template_leaks")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    from attesta.llm.templates import find_leaks
+
+    found = find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "matched", "windows", "coverage", "verbatim")
