@@ -96,3 +96,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
     found = find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return found.select("doc_id", "item_id", "matched", "windows", "coverage", "verbatim")
+
+
+@query("op10_prefix_free_parsing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    from attesta.llm.prefix_free import drop_repeated_bytes
+
+    return drop_repeated_bytes(table(spark, folder, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
