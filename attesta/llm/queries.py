@@ -104,3 +104,53 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 
     return drop_repeated_bytes(table(spark, folder, "documents")).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_host_reputation", """
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+             regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
+told AS (SELECT doc_id, min(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1 ELSE 0 END) AS good FROM labels
+         WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
+outcome AS (SELECT u.host, t.good FROM u LEFT JOIN told t
+            ON t.doc_id = TRY_CAST(nullif(regexp_extract(u.path, '([0-9]{1,18})(\\.html)?/?$', 1), '') AS BIGINT)),
+named AS (SELECT host, coalesce(sum(good), 0)::DOUBLE AS good, count(good)::DOUBLE AS n,
+                 string_split(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '.') AS l
+          FROM outcome WHERE host <> '' GROUP BY host),
+hosts AS (SELECT host, good, n, array_to_string(l[greatest(1, len(l) - CASE WHEN len(l) > 2 AND length(l[-1]) = 2
+                 AND l[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org') THEN 2 ELSE 1 END):], '.') AS domain FROM named),
+h AS (SELECT *, regexp_replace(domain, '^[^.]*\\.', '') AS suffix FROM hosts),
+d AS (SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM h GROUP BY ALL),
+x AS (SELECT suffix, sum(good) AS good, sum(n) AS n FROM d GROUP BY ALL),
+overall AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(good) + 1) / (sum(n) + 2) ELSE 0.5 END AS m FROM x),
+x1 AS (SELECT x.*, m FROM x, overall),
+x2 AS (SELECT sum(CASE WHEN n > 0 THEN n * power(good / n - m, 2) END) AS s, sum(CASE WHEN n > 0 THEN m * (1 - m) END) AS v,
+              sum(CASE WHEN n > 0 THEN m * (1 - m) * (n - 1) END) AS r FROM x1),
+xk AS (SELECT CASE WHEN coalesce(r, 0) = 0 OR s <= v THEN 1000.0 ELSE least(greatest(r / (s - v) - 1, 1.0), 1000.0) END AS k FROM x2),
+xr AS (SELECT suffix, (good + k * m) / (n + k) AS m FROM x1, xk),
+d1 AS (SELECT d.*, xr.m FROM d JOIN xr USING (suffix)),
+d2 AS (SELECT sum(CASE WHEN n > 0 THEN n * power(good / n - m, 2) END) AS s, sum(CASE WHEN n > 0 THEN m * (1 - m) END) AS v,
+              sum(CASE WHEN n > 0 THEN m * (1 - m) * (n - 1) END) AS r FROM d1),
+dk AS (SELECT CASE WHEN coalesce(r, 0) = 0 OR s <= v THEN 1000.0 ELSE least(greatest(r / (s - v) - 1, 1.0), 1000.0) END AS k FROM d2),
+dr AS (SELECT domain, (good + k * m) / (n + k) AS m FROM d1, dk),
+h1 AS (SELECT h.*, dr.m FROM h JOIN dr USING (domain)),
+h2 AS (SELECT sum(CASE WHEN n > 0 THEN n * power(good / n - m, 2) END) AS s, sum(CASE WHEN n > 0 THEN m * (1 - m) END) AS v,
+              sum(CASE WHEN n > 0 THEN m * (1 - m) * (n - 1) END) AS r FROM h1),
+hk AS (SELECT CASE WHEN coalesce(r, 0) = 0 OR s <= v THEN 1000.0 ELSE least(greatest(r / (s - v) - 1, 1.0), 1000.0) END AS k FROM h2),
+ab AS (SELECT host, good, n, good + k * m AS a, n - good + k * (1 - m) AS b FROM h1, hk),
+bound AS (SELECT host, good, n, round(a / (a + b) - 1.645 * sqrt(a * b / (power(a + b, 2) * (a + b + 1))), 6) AS lower_bound FROM ab),
+rules AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'),
+                                ('allow', 'org', '/fr/')) AS r(verdict, name, start)),
+fits AS (SELECT pages_.host, pages_.path, arg_max(r.name || r.start, length(r.name || r.start)) AS rule,
+                arg_max(r.verdict, length(r.name || r.start)) AS verdict
+         FROM (SELECT DISTINCT host, path FROM u) pages_ JOIN rules r
+           ON (pages_.host = r.name OR ends_with(pages_.host, '.' || r.name)) AND starts_with(pages_.path, r.start) GROUP BY ALL)
+SELECT u.page_id, u.host, u.path, f.rule,
+       coalesce(f.verdict, CASE WHEN b.lower_bound >= 0.5 THEN 'allow' ELSE 'block' END) AS verdict,
+       coalesce(b.good, 0)::BIGINT AS good, coalesce(b.n, 0)::BIGINT AS labelled, b.lower_bound
+FROM u LEFT JOIN fits f USING (host, path) LEFT JOIN bound b USING (host)""")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    from attesta.llm.url_reputation import judge_urls, page_outcomes
+
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return judge_urls(pages, page_outcomes(pages, table(spark, folder, "labels")))
