@@ -154,3 +154,10 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
     pages = table(spark, folder, "pages").select("page_id", "url")
     return judge_urls(pages, page_outcomes(pages, table(spark, folder, "labels")))
+
+
+@query("op8_language_crf")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    from attesta.llm.langid_crf import identify_languages
+
+    return identify_languages(table(spark, folder, "documents").select("doc_id", "text", "lang"))
