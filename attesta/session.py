@@ -53,4 +53,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.cut_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``cut_lineage`` wrote, once nothing that is still to run reads it."""
+    jvm = table.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(table.cut_path)
+    path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
