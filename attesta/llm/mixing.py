@@ -31,7 +31,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 class MixSettings:
     weights: tuple[float, ...] = (5.0, 2.0, 1.0)  # given to the sources in code-point order, repeating
     most_repeats: int = 3
-    block: int = 512
+    block: int = 2048
     shards: int = 64
     buckets: int = 1024                           # pieces into which a source's document order is cut
     seed: int = 7

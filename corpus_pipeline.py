@@ -7,10 +7,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from attesta.llm.mixing import mixed_documents
+from attesta.llm.order_minhash import keep_one_per_group
+from attesta.llm.quality import keep_good
 from attesta.llm.sharding import shard_documents
+from attesta.llm.templates import drop_leaking
 from attesta.session import ensure_checkpoint_dir
 
 
+def _side_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return keep_good(docs, _side_table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return keep_one_per_group(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, verbatim or re-parameterised."""
+    return drop_leaking(docs, _side_table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in blocks, drawn so that the sources meet their target weights."""
     return mixed_documents(docs)
@@ -21,7 +43,13 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard_documents(docs)
 
 
-STAGES = [("mixing", mix_sources), ("sharding", shard)]
+STAGES = [
+    ("quality", drop_poor),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_benchmark_leaks),
+    ("mixing", mix_sources),
+    ("sharding", shard),
+]
 
 ORACLE_SQL = None  # trained scores and seeded draws have no SQL form; tests hold the stages against brute force
 
