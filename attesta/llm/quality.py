@@ -28,6 +28,7 @@ class QualitySettings:
     grams: tuple[int, ...] = (2, 3)
     most_per_class: int = 3000      # labelled rows of each class that training looks at
     epochs: int = 6
+    least_steps: int = 20_000       # a small sample is passed over more often
     rate: float = 0.5
     threshold: float = 0.3
     seed: int = 11
@@ -94,10 +95,13 @@ def held_out(column: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def _usable(labels: DataFrame) -> DataFrame:
+    return labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out("doc_id", 5, 0))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, s: QualitySettings) -> DataFrame:
     """Text and label of at most ``most_per_class`` labelled documents a class, none of them held out."""
-    known = labels.where(F.col("quality").isNotNull() & ~held_out("doc_id", 5, 0)).groupBy("doc_id").agg(
-        F.round(F.avg("quality")).cast("int").alias("y")).where("doc_id is not null")
+    known = _usable(labels).groupBy("doc_id").agg(F.round(F.avg("quality")).cast("int").alias("y"))
     order = F.xxhash64("doc_id", F.lit(s.seed))
     picked = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(s.most_per_class) for y in (0, 1)]
     sample = picked[0].union(picked[1])   # bounded by the setting, so it may be broadcast
@@ -117,8 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, s: QualitySettings = QualitySettin
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "y": part["y"].to_numpy(),
                                     "at": [r[0] for r in rows], "n": [r[1] for r in rows]})
 
-    usable = labels.where(F.col("quality").isNotNull() & ~held_out("doc_id", 5, 0))
-    share = usable.agg(F.avg("quality").alias("p")).first()["p"]
+    share = _usable(labels).agg(F.avg("quality").alias("p")).first()["p"]
     rows = training_rows(docs, labels, s).repartition(8, "doc_id").mapInPandas(
         sparse_rows, "doc_id long, y int, at array<int>, n array<float>")
     sample = rows.toArrow().to_pandas().sort_values("doc_id") if share is not None else pd.DataFrame()
@@ -137,8 +140,9 @@ def fit(sample: pd.DataFrame, s: QualitySettings, share: float | None) -> Qualit
     y = sample["y"].to_numpy()
     bags = [(at, n / max(n.sum(), 1)) for at, n in zip(sample["at"], sample["n"], strict=True)]
     balance = len(y) / (2 * np.bincount(y, minlength=2))
-    steps, done = s.epochs * len(y), 0
-    for _ in range(s.epochs):
+    epochs = max(s.epochs, -(-s.least_steps // len(y)))
+    steps, done = epochs * len(y), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(y)):
             at, share_of = bags[i]
             rate = np.float32(s.rate * (1 - done / steps) * balance[y[i]])
