@@ -213,7 +213,7 @@ def train(docs: DataFrame, s: LanguageSettings = LanguageSettings()) -> Language
                 words = text.lower().split()
                 at = int(doc) * 7919 % max(1, len(words) - s.words_each + 1)
                 made.append(words[at:at + s.words_each])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "lang": batch["lang"].to_numpy(), "words": made})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "lang": batch["lang"].to_numpy(), "words": pd.Series(made, dtype=object)})
 
     rows = drawn.mapInPandas(stretch, "doc_id long, lang string, words array<string>").groupBy("doc_id").agg(
         F.min(F.struct("lang", "words")).alias("_one")).select("doc_id", "_one.*")
@@ -278,6 +278,6 @@ def label_words(docs: DataFrame, s: LanguageSettings = LanguageSettings()) -> Da
                         runs.append({"lang": name, "words": words[i]})
                 at += n
                 out.append(runs)
-        return pd.Series(out)
+        return pd.Series(out, dtype=object)
 
     return docs.select("doc_id", stretches("text").alias("stretches"))

@@ -244,7 +244,7 @@ def mixed_documents(docs: DataFrame, s: MixSettings = MixSettings()) -> DataFram
 
     @F.pandas_udf("array<string>")
     def cut(text: pd.Series, wanted: pd.Series) -> pd.Series:
-        return pd.Series([_cut_words(t, sorted((p["word_from"], p["word_to"]) for p in w)) for t, w in zip(text, wanted, strict=True)])
+        return pd.Series([_cut_words(t, sorted((p["word_from"], p["word_to"]) for p in w)) for t, w in zip(text, wanted, strict=True)], dtype=object)
 
     made = both.withColumn("_text", F.explode(cut(F.col("_doc.text"), F.col("_pieces"))))
     columns = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast(t).alias(c) if c == "n_chars"

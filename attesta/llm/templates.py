@@ -139,6 +139,8 @@ def _window_rows(s: TemplateSettings, ids: list[str], widths: list[int] | None,
                     start, key = made.windows(width, s.least_plain)
                     hit = passes(bitmap, key) if bitmap is not None else own[made.owner[start]] == width
                     start, key = start[hit], key[hit]
+                    if not len(start):
+                        continue
                     who = made.owner[start]
                     out = {c: part[c].to_numpy()[who] for c in ids}
                     yield pd.DataFrame(out | {
