@@ -209,32 +209,38 @@ def merge_intervals(intervals: DataFrame) -> DataFrame:
     return island.groupBy("paper_id", "span_id", "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("_island")
 
 
-def find_passages(spans: DataFrame, passages: DataFrame, size: int = 8) -> DataFrame:
+def find_passages(spans: DataFrame, passages: DataFrame, size: int = 8, gram: int = 6) -> DataFrame:
     """Which spans contain which passages (normalised), when the span is unknown.
 
-    Both sides are cut into word windows of ``size``; a passage is looked up by
-    its *rarest* window only (rarity counted over the spans), so each passage
-    has one key, and ``contains`` verifies the hit.  Passages shorter than a
-    window use their own word count, one join per length, so nothing is capped.
+    The first and last word of a passage may be parts of words in the span, but
+    the words between stand there whole: windows of up to ``size`` of them are
+    the keys.  A passage without inner words is keyed by windows of up to
+    ``gram`` characters.  A passage is looked up by its *rarest* window only
+    (rarity counted over the spans), and ``contains`` verifies the hit.
 
     ``passages`` has passage_id, text.
     """
-    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
-    wanted = passages.select("passage_id", X.normalize_quote("text").alias("_p")).where(F.col("_p") != "").withColumn(
-        "_words", F.split("_p", " ")).withColumn("_k", F.least(F.size("_words"), F.lit(size)))
-    # Windows are hashed: a key only proposes a span, the text itself decides.
-    windows = lambda words, k: F.transform(
-        F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.xxhash64(F.slice(words, i, k)))
-    keys = wanted.select("passage_id", "_k", F.explode(F.array_distinct(windows(F.col("_words"), F.col("_k")))).alias("_key"))
-    lengths = F.array_sort(F.collect_set("_k"))
-    needed = wanted.agg(lengths).scalar()
-    texts = spans.select("paper_id", "span_id", X.normalize_quote("text").alias("_n")).where(F.col("_n") != "")
-    words = texts.withColumn("_words", F.split("_n", " ")).withColumn("_k", F.explode(needed)).where(F.size("_words") >= F.col("_k"))
-    grams = words.select("paper_id", "span_id", "_k", F.explode(F.array_distinct(windows(F.col("_words"), F.col("_k")))).alias("_key"))
+    wanted = passages.select("passage_id", X.normalize_quote("text").alias("_p")).where("_p <> ''").withColumn(
+        "_inner", F.split("_p", " ")).withColumn("_inner", F.slice("_inner", F.lit(2), F.greatest(F.size("_inner") - 2, F.lit(0))))
+    # negative lengths count characters; windows are hashed, as a key only proposes a span and the text decides
+    length = F.when(F.size("_inner") > 0, F.least(F.size("_inner"), F.lit(size))).otherwise(-F.least(F.length("_p"), F.lit(gram)))
+    wanted = wanted.withColumn("_k", length)
+
+    def windows(words: Column, text: Column, k: Column) -> Column:
+        of_words = F.transform(F.sequence(F.lit(1), F.size(words) - k + 1), lambda i: F.xxhash64(F.slice(words, i, k)))
+        of_chars = F.transform(F.sequence(F.lit(1), F.length(text) + k + 1), lambda i: F.xxhash64(F.substring(text, i, -k)))
+        fits = F.when(k > 0, F.size(words) >= k).otherwise(F.length(text) >= -k)
+        return F.when(fits, F.array_distinct(F.when(k > 0, of_words).otherwise(of_chars)))
+
+    keys = wanted.select("passage_id", "_k", F.explode(windows(F.col("_inner"), F.col("_p"), F.col("_k"))).alias("_key"))
+    needed = wanted.agg(F.array_sort(F.collect_set("_k"))).scalar()      # at most size + gram lengths
+    texts = spans.select("paper_id", "span_id", X.normalize_quote("text").alias("_n")).where("_n <> ''")
+    words = texts.withColumn("_words", F.split("_n", " ")).withColumn("_k", F.explode(needed))
+    grams = words.select("paper_id", "span_id", "_k", F.explode(windows(F.col("_words"), F.col("_n"), F.col("_k"))).alias("_key"))
     live = cut_lineage(grams.join(keys.select("_k", "_key").distinct(), ["_k", "_key"], "left_semi"))
     frequency = live.groupBy("_k", "_key").agg(F.count("*").alias("_f"))
     rarest = keys.join(frequency, ["_k", "_key"], "left").groupBy("passage_id", "_k").agg(
         F.min_by("_key", F.struct(F.coalesce("_f", F.lit(0)).alias("f"), "_key")).alias("_key"))
     hits = live.join(rarest, ["_k", "_key"]).select("paper_id", "span_id", "passage_id")
     checked = hits.join(wanted.select("passage_id", "_p"), "passage_id").join(texts, ["paper_id", "span_id"])
-    return checked.where(F.contains(padded(F.col("_n")), padded(F.col("_p")))).select("paper_id", "span_id", "passage_id")
+    return checked.where(F.contains("_n", "_p")).select("paper_id", "span_id", "passage_id")

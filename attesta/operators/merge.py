@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from attesta.functions import numbers as N
 from attesta.functions import text as X
 from attesta.functions import fixed_values as fv
-from attesta.operators.frames import ordinal, previous, top_rows
+from attesta.operators.frames import ordinal, top_rows
 from attesta.operators.similarity import leader_clusters
+from attesta.session import cut_lineage
 from attesta.settings import CLAIMS, ClaimSettings
 
 
@@ -176,19 +177,24 @@ def drop_unsupported(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
     return claims.join(bad, ["paper_id", "pos"], "left_anti")
 
 
-def hygiene(claims: DataFrame, spans: DataFrame, edge: int = 64) -> DataFrame:
+def hygiene(claims: DataFrame, spans: DataFrame) -> DataFrame:
     """Claims with a drop reason: not a claim, or a measurement the paper never states.
 
-    A measurement may straddle two spans, so each span is searched together with
-    the end of the one before it; the paper's text is never put in one cell.
+    A measurement may straddle any number of spans.  Every span is searched
+    together with the characters before it, one less than the longest
+    measurement has, gathered over as many spans as that takes; the paper's
+    text is never put in one cell.
     """
     asked = claims.select("paper_id", "pos", F.explode(F.array_distinct(N.measurements(F.col("statement")))).alias("measurement"))
-    needles = asked.select("paper_id", "measurement").distinct().withColumn("_needle", X.compact("measurement"))
+    needles = cut_lineage(asked.select("paper_id", "measurement").distinct().withColumn("_needle", X.compact("measurement")))
+    longest = needles.agg(F.max(F.length("_needle")).alias("n")).first()["n"] or 1
     packed = spans.join(needles.select("paper_id").distinct(), "paper_id", "left_semi").select(
-        "paper_id", "pos", X.compact("text").alias("_packed"))
-    tails = previous(packed.withColumn("_tail", F.right("_packed", F.lit(edge))), ["paper_id"], "pos", "_tail", "_before")
+        "paper_id", "pos", X.compact("text").alias("_packed")).where("_packed <> ''")
+    numbered = cut_lineage(ordinal(packed, ["paper_id"], ["pos"], "_no").drop("pos"))
+    tails = _tails(numbered, longest - 1)
+    before = tails.select("paper_id", (F.col("_no") + 1).alias("_no"), F.col("_tail").alias("_before"))
     text = F.concat(F.coalesce("_before", F.lit("")), F.col("_packed"))
-    stated = tails.select("paper_id", text.alias("_text")).join(needles, "paper_id").where(
+    stated = numbered.join(before, ["paper_id", "_no"], "left").select("paper_id", text.alias("_text")).join(needles, "paper_id").where(
         F.contains("_text", "_needle")).select("paper_id", "measurement").distinct()
     missing = asked.join(stated, ["paper_id", "measurement"], "left_anti").groupBy("paper_id", "pos").agg(
         F.array_sort(F.collect_set("measurement")).alias("detail"))
@@ -198,6 +204,22 @@ def hygiene(claims: DataFrame, spans: DataFrame, edge: int = 64) -> DataFrame:
         "detail", F.when(F.col("reason") == "measurement_not_in_paper", F.col("detail")))
 
 
+def _tails(numbered: DataFrame, size: int) -> DataFrame:
+    """The last ``size`` characters of a paper up to and with each span (paper_id, _no, _tail).
+
+    No span is empty, so ``size`` spans suffice; each round doubles how many of
+    them a tail covers, by a join on the span's number.
+    """
+    tails = numbered.select("paper_id", "_no", F.right("_packed", F.lit(size)).alias("_tail"))
+    step = 1
+    while step < size:
+        earlier = tails.select("paper_id", (F.col("_no") + step).alias("_no"), F.col("_tail").alias("_more"))
+        tails = tails.join(earlier, ["paper_id", "_no"], "left").select(
+            "paper_id", "_no", F.right(F.concat(F.coalesce("_more", F.lit("")), F.col("_tail")), F.lit(size)).alias("_tail"))
+        step *= 2
+    return tails
+
+
 def rank_and_cap(claims: DataFrame, limit: int = CLAIMS.max_claims) -> DataFrame:
     """The first ``limit`` claims per paper by importance, first page and order, with their ids.
 

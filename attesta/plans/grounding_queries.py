@@ -25,15 +25,14 @@ def _fuzzy(t):
 
 
 @query("grd_01c_located_source_text", f"""
-SELECT q.paper_id, q.pos, {D.collapse('s.text')} AS located FROM f_quote q JOIN f_span s ON s.paper_id = q.paper_id AND s.span_id = q.span_id
-JOIN f_located l ON l.paper_id = q.paper_id AND l.pos = q.pos WHERE l.method IN ('exact', 'normalized')
-AND (q.doc_no + q.pos) % 4 < 2""", {"f_located": LOCATED})
+SELECT q.paper_id, q.pos, {D.norm_quote('q.quote')} AS located
+FROM f_quote q JOIN f_located l ON l.paper_id = q.paper_id AND l.pos = q.pos WHERE l.method IN ('exact', 'normalized')""", {"f_located": LOCATED})
 def _source_text(t):
-    """Whole-line quotes must come back as the whole source line."""
+    """The source text of a located quote is the quote itself, but for white space and case."""
     from attesta.functions import text as X
 
-    found = G.locate_quotes(t.quote, t.span, fuzzy=False).where((F.col("doc_no") + F.col("pos")) % 4 < 2)
-    return found.where("method <> 'failed'").select("paper_id", "pos", X.collapse_ws("located").alias("located"))
+    found = G.locate_quotes(t.quote, t.span, fuzzy=False).where("method <> 'failed'")
+    return found.select("paper_id", "pos", X.normalize_quote("located").alias("located"))
 
 
 @query("grd_02_quote_in_span", f"""
@@ -105,11 +104,11 @@ def _guard(t):
     return G.guard_quotes(sources, t.span)
 
 
-@query("grd_07_verified_source_ref", """
-SELECT q.paper_id, q.pos AS ref_key, q.span_id, CASE WHEN l.method = 'exact' THEN left(q.quote, 420) END AS quote
-FROM f_quote q JOIN f_located l ON l.paper_id = q.paper_id AND l.pos = q.pos WHERE (q.doc_no + q.pos) % 4 IN (0, 2)""", {"f_located": LOCATED})
+@query("grd_07_verified_source_ref", f"""
+SELECT q.paper_id, q.pos AS ref_key, q.span_id, CASE l.method WHEN 'exact' THEN left(q.quote, 420) WHEN 'normalized' THEN left({D.strip('s.text')}, 420) END AS quote
+FROM f_quote q JOIN f_located l ON l.paper_id = q.paper_id AND l.pos = q.pos JOIN f_span s ON s.paper_id = q.paper_id AND s.span_id = q.span_id""", {"f_located": LOCATED})
 def _refs(t):
-    base = t.quote.where((F.col("doc_no") + F.col("pos")) % 4 % 2 == 0).select(
+    base = t.quote.select(
         "paper_id", F.col("pos").alias("ref_key"), "quote",
         F.posexplode(F.array(F.concat(F.col("paper_id"), F.lit("-span-9999")), F.col("span_id"))).alias("span_pos", "span_id"))
     from attesta.functions import text as X
@@ -145,7 +144,7 @@ def _occurrences(t):
 
 @query("grd_09_passage_lookup", f"""
 SELECT CAST(doc_id AS VARCHAR) AS paper_id, item_id AS passage_id FROM documents d, benchmark b
-WHERE contains(' ' || {D.norm_quote('d.text')} || ' ', ' ' || {D.norm_quote('b.text')} || ' ')""")
+WHERE {D.norm_quote('b.text')} <> '' AND contains({D.norm_quote('d.text')}, {D.norm_quote('b.text')})""")
 def _passages(t):
     spans = t.read("documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.col("doc_id").cast("string").alias("span_id"), "text")
     passages = t.read("benchmark").select(F.col("item_id").alias("passage_id"), "text")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesta.operators import documents as docs
-from attesta.operators import linking, merge, scoring
+from attesta.operators import grounding, linking, merge, scoring
 from attesta.operators.frames import ordinal, previous, running_total
 from attesta.settings import PayoutSettings
 from attesta.sources import readers, sinks
@@ -157,3 +157,22 @@ def test_guard_targets(spark):
     with pytest.raises(ValueError):
         sinks.guard_targets(spark, planned, held)
     sinks.guard_targets(spark, planned, planned)
+
+
+def test_hygiene_searches_the_whole_paper(spark):
+    texts = ["the dose was 2", "5", "mg per day, then", "1", "0", "0", " nM of it and 4 mg"]
+    statements = ["Patients were given 25 mg of the compound daily.", "Cells were treated with 100 nM of the compound.",
+                  "Cells were treated with 250 mg of the compound.", "Too short", "A second dose of 4 mg was given to all patients."]
+    claims = spark.createDataFrame([("p", i, s) for i, s in enumerate(statements)], "paper_id string, pos int, statement string")
+    found = {r.pos: (r.reason, r.detail) for r in merge.hygiene(claims, spans_frame(spark, texts)).collect()}
+    assert found == {0: (None, None), 1: (None, None), 2: ("measurement_not_in_paper", ["250 mg"]),
+                     3: ("not_a_scientific_claim", None), 4: (None, None)}
+
+
+def test_passages_touching_punctuation_and_word_parts(spark):
+    inner = "alpha beta gamma delta epsilon zeta eta theta iota"
+    texts = [f"x ({inner}.)", f"pre{inner}post", "alpha beta", "x(zeta eta)", "zet", "nothing here"]
+    passages = spark.createDataFrame([(1, inner), (2, "zeta eta"), (3, "ph"), (4, "a  BETA"), (5, " ")], "passage_id int, text string")
+    found = {(r.span_id[-1], r.passage_id) for r in grounding.find_passages(spans_frame(spark, texts), passages).collect()}
+    want = {(str(i), k) for i, text in enumerate(texts, 1) for k, p in ((1, inner), (2, "zeta eta"), (3, "ph"), (4, "a beta")) if p in text.lower()}
+    assert found == want
