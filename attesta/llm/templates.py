@@ -42,7 +42,7 @@ class TemplateSettings:
     least_plain: float = 0.5    # share of a window that must not be placeholders
     coverage: float = 0.5       # share of an item's windows that a leak shows
     consistent: float = 0.8     # share of an item's values that turn into one value each
-    filter_bits: int = 27
+    filter_bits: int = 24       # 2 MB
     batch_chars: int = 2_000_000
 
 
