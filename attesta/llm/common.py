@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 from attesta.session import cut_lineage
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> None:
+    """Send rows to Python in batches of at most ``BATCH_ROWS``, as whole texts are long; a smaller setting stays."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+
 def text_hash(column: str = "text") -> Column:
     """64-bit hash that tells a null text from an empty one."""
     return F.xxhash64(F.col(column).isNull(), F.col(column))

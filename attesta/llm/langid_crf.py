@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import batch_words, char_grams, distinct_words, mix64, slices, word_hashes
+from attesta.llm.common import batch_words, char_grams, distinct_words, mix64, slices, small_batches, word_hashes
 from attesta.llm.quality import held_out
 
 
@@ -35,7 +35,7 @@ class LanguageSettings:
     lexicon_times: int = 3              # a lexicon word occurs so often, and
     lexicon_share: float = 0.8          # so often in its language
     piece: int = 64
-    batch_chars: int = 1_500_000
+    batch_chars: int = 500_000
     seed: int = 5
 
 
@@ -197,6 +197,7 @@ def fit(samples: list[tuple[int, list[str]]], languages: tuple[str, ...], s: Lan
 
 def train(docs: DataFrame, s: LanguageSettings = LanguageSettings()) -> LanguageModel:
     """Fit on about ``per_language`` documents of each language that are not held out."""
+    small_batches(docs)
     usable = docs.select("doc_id", "text", "lang").where(
         F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id", 3, 1))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attesta.llm.common import mix64, text_hash
+from attesta.llm.common import mix64, small_batches, text_hash
 from attesta.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -234,6 +234,7 @@ def mixed_documents(docs: DataFrame, s: MixSettings = MixSettings()) -> DataFram
     ``text`` holds the piece's words and ``n_chars`` (where present) its
     length; other columns are the document's own.
     """
+    small_batches(docs)
     _, pieces = mix_pieces(docs, s)
     lists = pieces.groupBy("doc_id", "_h").agg(  # at most most_repeats + 1 entries a block of one document
         F.collect_list(F.struct("word_from", "word_to")).alias("_pieces"))

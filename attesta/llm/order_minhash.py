@@ -27,6 +27,7 @@ from attesta.llm.common import (
     mix64,
     passes,
     slices,
+    small_batches,
     text_hash,
     word_hashes,
 )
@@ -43,7 +44,7 @@ class OrderSettings:
     kinds: tuple[tuple[int, int, int | None], ...] = ((4, 20, None), (2, 12, 50))
     pairs_up_to: int = 8        # a bucket of at most so many is compared pair by pair
     block: int = 512            # rows of one side of a block comparison
-    batch_chars: int = 2_000_000
+    batch_chars: int = 500_000
 
 
 def shingles(texts: list[str | None], s: OrderSettings) -> list[np.ndarray]:
@@ -209,6 +210,7 @@ def _block_links(s: OrderSettings):
 
 
 def _grouped(docs: DataFrame, s: OrderSettings) -> DataFrame:
+    small_batches(docs)
     classes = cut_lineage(sketch_documents(docs, s))
     entries = cut_lineage(classes.select(F.col("_h").alias("node"), F.explode("keys").alias("key")))
     sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")

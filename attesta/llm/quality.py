@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import batch_words, char_grams, distinct_words, mix64, slices, word_hashes
+from attesta.llm.common import batch_words, char_grams, distinct_words, mix64, slices, small_batches, word_hashes
 
 
 @dataclass(frozen=True)
@@ -32,7 +32,7 @@ class QualitySettings:
     rate: float = 0.5
     threshold: float = 0.3
     seed: int = 11
-    batch_chars: int = 2_000_000
+    batch_chars: int = 500_000
 
 
 @dataclass(frozen=True)
@@ -121,6 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, s: QualitySettings = QualitySettin
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "y": part["y"].to_numpy(),
                                     "at": [r[0] for r in rows], "n": [r[1] for r in rows]})
 
+    small_batches(docs)
     share = _usable(labels).agg(F.avg("quality").alias("p")).first()["p"]
     rows = training_rows(docs, labels, s).repartition(8, "doc_id").mapInPandas(
         sparse_rows, "doc_id long, y int, at array<int>, n array<float>")

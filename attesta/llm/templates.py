@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import distinct_words, key_filter, mix64, passes, slices, text_hash, word_hashes
+from attesta.llm.common import distinct_words, key_filter, mix64, passes, slices, small_batches, text_hash, word_hashes
 from attesta.session import cut_lineage
 
 # Unit words that may follow a number.
@@ -43,7 +43,7 @@ class TemplateSettings:
     coverage: float = 0.5       # share of an item's windows that a leak shows
     consistent: float = 0.8     # share of an item's values that turn into one value each
     filter_bits: int = 24       # 2 MB
-    batch_chars: int = 2_000_000
+    batch_chars: int = 500_000
 
 
 def _kind(word: str) -> tuple[int, str]:
@@ -162,6 +162,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, s: TemplateSettings = Temp
     Null texts and texts without words match nothing; a null id is carried
     along; repeated documents and repeated items give their pair once.
     """
+    small_batches(docs)
     items = benchmark.where("item_id is not null").select("item_id", "text").distinct()
     searched = cut_lineage(items.mapInPandas(_window_rows(s, ["item_id"], None, None), f"item_id long, {SHAPE}"))
     widths = sorted(r["width"] for r in searched.select("width").distinct().collect())  # at most window - shortest + 1
