@@ -18,7 +18,14 @@ def _coerce(t):
         "paper_id", "claim_id", "importance", "status", "claim_type", "conditions")
 
 
-@query("asm_02_evidence_records")
+@query("asm_02_evidence_records", f"""
+SELECT paper_id, claim_id, printf('EV%02d', row_number() OVER (PARTITION BY paper_id ORDER BY pos)) AS evidence_id, 'support' AS role,
+  topic || ' (p. ' || CAST(page AS VARCHAR) || '): ' || left(statement, 80) AS title,
+  CASE WHEN len({D.missing_numbers('given', 'qs')}) > 0 THEN statement ELSE given END AS summary,
+  {D.case_map('claim_type', D.fv.OUTCOME_TYPE, "'qualitative_result'")} AS outcome_type, len(qs) AS n_refs
+FROM (SELECT c.*, CASE WHEN c.pos % 3 = 0 THEN c.statement ELSE c.statement || ' 42' END AS given,
+        CASE WHEN {D.strip('q.quote')} <> '' THEN [q.quote] ELSE CAST([] AS VARCHAR[]) END AS qs
+      FROM f_claim c LEFT JOIN f_quote q ON q.paper_id = c.paper_id AND q.claim_id = c.claim_id)""")
 def _evidence(t):
     claims = t.claim.withColumn("summary", F.when(F.col("pos") % 3 == 0, "").otherwise(F.concat("statement", F.lit(" 42"))))
     return A.evidence_records(claims.withColumn("pages", F.col("page").cast("string")), t.quote.select("paper_id", "claim_id", "quote"))

@@ -198,7 +198,17 @@ def claims_with_quotes(t):
     return audit.connected_quotes(t.claim, own, t.claim_evidence, evidence_refs)
 
 
-@query("aud_15_number_not_grounded")
+def _rigor_sql(text, code, severity, target, quotes, view, kind="claim"):
+    """Findings for texts with a number that none of their quotes (rows of paper_id, target, quote) states."""
+    return f"""WITH said AS (SELECT paper_id, target, list(DISTINCT quote) AS qs FROM ({quotes}) WHERE {D.strip('quote')} <> '' GROUP BY ALL)
+SELECT v.paper_id, '{kind}' AS target_type, v.{target} AS target_id, '{code}' AS code, '{severity}' AS severity, '' AS detail
+FROM {view} v LEFT JOIN said s ON s.paper_id = v.paper_id AND s.target = v.{target} WHERE len({D.missing_numbers(text, "coalesce(s.qs, [])")}) > 0"""
+
+
+@query("aud_15_number_not_grounded", _rigor_sql(
+    "v.statement || ' ' || coalesce(v.conditions, '')", "number_not_grounded", "major", "claim_id",
+    "SELECT paper_id, claim_id AS target, quote FROM f_quote WHERE (doc_no + pos) % 3 = 0 UNION ALL "
+    "SELECT l.paper_id, l.claim_id, e.summary FROM f_claim_evidence l JOIN f_evidence e USING (paper_id, evidence_id)", "f_claim"))
 def _number(t):
     return _short(audit.claim_rigor(claims_with_quotes(t)).where("code = 'number_not_grounded'"))
 
@@ -250,13 +260,18 @@ def _orphans(t):
     return _short(found.where("code = 'orphan_evidence'"), "paper_id", "target_id")
 
 
-@query("aud_22b_evidence_numbers")
+@query("aud_22b_evidence_numbers", _rigor_sql(
+    "v.summary", "evidence_number_not_grounded", "minor", "evidence_id",
+    "SELECT paper_id, printf('EV%02d', pos) AS target, quote FROM f_quote", "f_evidence", "evidence"))
 def _evidence_numbers(t):
     found = audit.evidence_rigor(t.evidence, t.quote.select("paper_id", F.format_string("EV%02d", "pos").alias("evidence_id"), "quote"), t.evidence_claim)
     return _short(found.where("code = 'evidence_number_not_grounded'"))
 
 
-@query("aud_23_experiment_numbers")
+@query("aud_23_experiment_numbers", _rigor_sql(
+    "coalesce(v.conditions, '') || ' ' || v.statement", "experiment_constants_ungrounded", "warning", "claim_id",
+    "SELECT paper_id, claim_id AS target, quote FROM f_quote", "f_claim", "experiment")
+    + f" UNION ALL SELECT paper_id, 'experiment', claim_id, 'experiment_numbers', 'minor', '' FROM f_claim WHERE len({D.numbers('statement')}) > 0")
 def _experiments(t):
     rows = t.claim.select("paper_id", F.col("claim_id").alias("experiment_id"), F.col("conditions").alias("setup"),
                           F.col("statement").alias("procedure"), F.col("statement").alias("expected_outcome"))

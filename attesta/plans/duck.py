@@ -94,6 +94,44 @@ def case_map(x: str, table: dict, default: str) -> str:
     return f"(CASE {arms} ELSE {default} END)"
 
 
+# RE2 has no look-around: guards are consumed, so separators are doubled first to serve two neighbours.
+NUMBER = r"(?:^|[^A-Za-z0-9\-/_.])([-+]?\d+(?:[.,]\d+)*(?:\s*[×x]\s*10\s*[\^]?\s*[-−]?\d+)?)(?:$|[^A-Za-z0-9/_])"
+MEASURE = r"(?:^|[^A-Za-z0-9])([-+]?\d+(?:[.,]\d+)*)\s*(" + "|".join(fv.MEASUREMENT_UNITS) + r")(?:$|[^A-Za-z0-9])"
+
+
+def _doubled(x: str, kept: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), {q('([^A-Za-z0-9' + kept + '])')}, {q(chr(92) + '1' + chr(92) + '1')}, 'g')"
+
+
+def numbers(x: str) -> str:
+    """Number tokens in order, cleaned."""
+    found = f"regexp_extract_all({_doubled(x, '.,×^−/_-')}, {q(NUMBER)}, 1)"
+    clean = f"replace(replace(replace(regexp_replace(n, {q(WS)}, '', 'g'), ',', ''), '−', '-'), '×', 'x')"
+    return f"list_filter(list_transform({found}, lambda n: regexp_replace(regexp_replace({clean}, '^[+]+', ''), '^-+', '')), lambda n: n <> '')"
+
+
+def missing_numbers(x: str, quotes: str) -> str:
+    """Sorted distinct numbers of a text that no quote of a list states."""
+    stated = f"flatten(list_transform({quotes}, lambda s: {numbers('s')}))"
+    hay = f"replace({norm_quote(f'array_to_string({quotes}, ' + q(' ') + ')')}, ',', '')"
+    a, b = "TRY_CAST(m AS DOUBLE)", "TRY_CAST(o AS DOUBLE)"
+    close = f"coalesce(abs({a} - {b}) <= 1e-9 * greatest(1.0, abs({a}), abs({b})), false)"
+    return (f"list_sort(list_distinct(list_filter({numbers(x)}, lambda m: NOT (contains({hay}, m) "
+            f"OR len(list_filter({stated}, lambda o: o = m OR {close})) > 0))))")
+
+
+def measurements(x: str) -> str:
+    """``value unit`` strings of a text."""
+    twice = _doubled(x, ".,µμ°/+-")
+    return (f"list_transform(list_zip(regexp_extract_all({twice}, {q(MEASURE)}, 1), regexp_extract_all({twice}, {q(MEASURE)}, 2)), "
+            f"lambda z: z[1] || ' ' || z[2])")
+
+
+def identifiers(x: str) -> str:
+    return (f"list_filter(regexp_extract_all({x}, {q(fv.IDENTIFIER_PATTERN)}), "
+            f"lambda t: length(t) >= 4 AND NOT list_contains({listing(fv.IDENTIFIER_EXCLUSIONS)}, lower(t)))")
+
+
 def ratio_units(num: str, den: str, places: int = 4) -> str:
     """Ties-to-even units of 10^-places of an integer ratio."""
     n, d = f"(CAST({num} AS BIGINT) * {10**places})", f"CAST({den} AS BIGINT)"

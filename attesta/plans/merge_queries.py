@@ -50,7 +50,11 @@ def _leaders(t):
     return M.premerge(tokens_only(t), number_rule=False)
 
 
-@query("mrg_02b_leader_clusters_with_numbers")
+@query("mrg_02b_leader_clusters_with_numbers", "SELECT * FROM f_leader", {
+    "f_tok": f"SELECT *, {D.tokens('statement')} AS tok, {D.numbers('statement')} AS nums FROM f_claim",
+    "f_edge": f"""SELECT b.paper_id, a.pos AS i, b.pos AS j FROM f_tok a JOIN f_tok b ON a.paper_id = b.paper_id AND a.pos < b.pos
+      WHERE {D.jaccard('a.tok', 'b.tok')} >= 0.5 OR ({D.jaccard('a.tok', 'b.tok')} >= 0.375 AND len(list_intersect(a.nums, b.nums)) > 0)""",
+    "f_leader": LEADERS})
 def _leaders_numbers(t):
     return M.premerge(M.with_signature(t.claim))
 
@@ -154,7 +158,13 @@ def _restatements(t):
     return M.drop_unsupported(M.merge_restatements(claims, groups), verdicts)
 
 
-@query("mrg_08_claim_hygiene")
+@query("mrg_08_claim_hygiene", f"""
+WITH paper AS (SELECT paper_id, string_agg({D.compact('text')}, '' ORDER BY pos) AS whole FROM f_span GROUP BY paper_id),
+c AS (SELECT paper_id, pos, statement || CASE WHEN pos % 3 = 0 THEN ' at 25 mg and 3 nM' ELSE '' END AS st FROM f_claim),
+m AS (SELECT c.*, list_sort(list_distinct(list_filter({D.measurements('st')}, lambda v: NOT contains(whole, {D.compact('v')})))) AS gone
+      FROM c JOIN paper USING (paper_id))
+SELECT paper_id, pos, CASE WHEN {D.is_non_claim('st')} THEN 'not_a_scientific_claim' WHEN len(gone) > 0 THEN 'measurement_not_in_paper' END AS reason,
+  CASE WHEN NOT {D.is_non_claim('st')} AND len(gone) > 0 THEN array_to_string(gone, ';') END AS detail FROM m""")
 def _hygiene(t):
     odd = F.when(F.col("pos") % 3 == 0, F.concat("statement", F.lit(" at 25 mg and 3 nM"))).otherwise(F.col("statement"))
     return M.hygiene(t.claim.withColumn("statement", odd), t.span).select("paper_id", "pos", "reason", F.array_join("detail", ";").alias("detail"))
@@ -172,7 +182,10 @@ def _cap(t):
     return M.rank_and_cap(t.claim.drop("claim_id"), 40).select("paper_id", "pos", "claim_id")
 
 
-@query("mrg_11_signature_groups")
+@query("mrg_11_signature_groups", f"""
+SELECT paper_id, min(pos) AS first_pos, count(*) AS n, ids, nums FROM (
+  SELECT paper_id, pos, array_to_string(list_sort(list_distinct(list_transform({D.identifiers('statement')}, lambda t: {D.compact('t')}))), ',') AS ids,
+    array_to_string(list_sort(list_distinct({D.numbers('statement')})), ',') AS nums FROM f_claim) GROUP BY paper_id, ids, nums""")
 def _signatures(t):
     return M.signature_groups(t.claim).select(
         "paper_id", "first_pos", "n", F.array_join("ids", ",").alias("ids"), F.array_join("nums", ",").alias("nums"))

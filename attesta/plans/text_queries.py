@@ -27,13 +27,16 @@ _lines("txt_06_token_set", "tokens", lambda: F.array_join(F.array_sort(X.tokens(
        f"array_to_string(list_sort({D.tokens('text')}), ' ')")
 _lines("txt_08_content_terms", "terms", lambda: F.array_join(F.array_sort(X.content_terms("text")), " "),
        f"array_to_string(list_sort({D.content_terms('text')}), ' ')")
-_lines("txt_09_number_tokens", "numbers", lambda: F.array_join(N.numbers_in(F.col("text")), " "), None)
+_lines("txt_09_number_tokens", "numbers", lambda: F.array_join(N.numbers_in(F.col("text")), " "),
+       f"array_to_string({D.numbers('text')}, ' ')")
 _lines("txt_11_numeric_terms", "terms", lambda: F.array_join(X.numeric_terms("text"), " "),
        f"array_to_string(regexp_extract_all(text, {D.q(fv.NUMERIC_TERM_PATTERN)}), ' ')")
-_lines("txt_13_measurements", "values", lambda: F.array_join(N.measurements(F.col("text")), "; "), None)
+_lines("txt_13_measurements", "values", lambda: F.array_join(N.measurements(F.col("text")), "; "),
+       f"array_to_string({D.measurements('text')}, '; ')")
 _lines("txt_14_non_claim", "non_claim", lambda: X.is_non_claim("text"), D.is_non_claim("text"))
 _lines("txt_15_boilerplate_statement", "boilerplate",
-       lambda: X.is_boilerplate_wording("text") & (F.size(N.numbers_in(F.col("text"))) == 0), None)
+       lambda: X.is_boilerplate_wording("text") & (F.size(N.numbers_in(F.col("text"))) == 0),
+       f"regexp_matches(text, {D.q('(?i)' + fv.BOILERPLATE_STATEMENT_PATTERN)}) AND len({D.numbers('text')}) = 0")
 _lines("txt_17_strip_numbers", "plain", lambda: N.strip_numbers(F.col("text")), None)
 _lines("txt_18_short_concept", "concept", lambda: X.short_concept("text"),
        "(SELECT CASE WHEN len(list_filter(string_split(c, ' '), lambda w: w <> '')) > 10 THEN '' "
@@ -67,7 +70,9 @@ def _neighbours(t):
     return tok.join(after, LINE).select(*LINE, F.bround(X.jaccard(F.col("tok"), F.col("next_tok")), 4).alias("score"))
 
 
-@query("txt_10_ungrounded_numbers")
+@query("txt_10_ungrounded_numbers", f"""
+SELECT s.paper_id, s.pos, array_to_string({D.missing_numbers('s.text', "[coalesce(q.quote, '')]")}, ', ') AS missing
+FROM f_span s LEFT JOIN f_quote q ON q.paper_id = s.paper_id AND q.pos = s.pos + 1""")
 def _ungrounded(t):
     """Numbers of a line that the quote of its neighbour line does not state."""
     quotes = t.quote.select("paper_id", (F.col("pos") - 1).alias("pos"), "quote")
