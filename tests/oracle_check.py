@@ -68,11 +68,11 @@ MUST_HOLD = {
         (r.located is None) == (r.method == "failed") and (r.method not in ("exact", "normalized") or r.similarity == 1)
         and (r.method != "fuzzy" or 0.86 <= r.similarity <= 1) for r in rows) and len({r.method for r in rows}) == 4,
     "grd_03b_verify_with_numbers": lambda rows: all(
-        (r.route == "dropped") == (r.reason is not None) and (r.route != "repair" or r.missing_numbers) for r in rows),
+        (r.route == "kept") == (r.reason is None) and (r.route == "repair") == bool(r.missing_numbers) for r in rows),
     "grd_04_repair_pass": lambda rows: all(r.repaired for r in rows),
     "mrg_06_finalize_claims": lambda rows: all(r.n_quotes == len(set(r.span_ids.split(","))) and r.statement for r in rows),
     "src_04_markup_spans": _sections_follow,
-    "txt_17_strip_numbers": lambda rows: not any(LONE_NUMBER.search(r.plain) for r in rows),
+    "txt_17_strip_numbers": lambda rows: not any(re.search(r"(?<!\S)\d+(?!\S)", r.plain) for r in rows),
     "flagship_ranked_documents": _ranks_follow,
 }
 
