@@ -94,12 +94,13 @@ def unresolved(refs: DataFrame, known: DataFrame, target_type: str, field: str,
 
 
 def number_findings(findings: DataFrame, prefix: str, order: list[str]) -> DataFrame:
-    """Sequence ids per paper in emission order, with the suggestion text of the code."""
+    """Sequence ids per paper in emission order, with what the pass of that prefix suggests for the code."""
     numbered = ordinal(findings, ["paper_id"], order, "_no")
-    table = F.create_map(*[F.lit(x) for pair in fv.SUGGESTIONS.items() for x in pair])
+    suggestion = F.lit(fv.OTHER_SUGGESTION.get(prefix))
+    for code, text in fv.SUGGESTIONS.get(prefix, {}).items():
+        suggestion = F.when(F.col("code") == code, text).otherwise(suggestion)
     return numbered.withColumn("finding_id", X.sequence_id(prefix, F.col("_no"), 3)).withColumn(
-        "suggestion", F.try_element_at(table, F.col("code"))
-    ).drop("_no")
+        "suggestion", suggestion.cast("string")).drop("_no")
 
 
 # ---------------------------------------------------------------- source references

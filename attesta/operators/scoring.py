@@ -71,22 +71,20 @@ def scored_units(units: DataFrame) -> DataFrame:
 
 
 def unit_status(units: DataFrame, members: DataFrame, submissions: DataFrame) -> DataFrame:
-    """Every unit of a paper for every contestant that submitted it: covered, missing or improvement.
+    """What a contestant's submission lacks or adds: scored units it misses, and improvements it covers.
 
-    ``submissions`` has paper_id, contestant.  The result itself has one row per
-    unit and submission; both joins are equi-joins.
+    ``submissions`` has paper_id, contestant.  A covered unit that is no
+    improvement gives no row.
     """
     hit = members.select("paper_id", "unit_id", "contestant").distinct().withColumn("_hit", F.lit(True))
-    joined = units.join(submissions, "paper_id").join(hit, ["paper_id", "unit_id", "contestant"], "left")
-    covered = F.coalesce("_hit", F.lit(False))
-    scored = F.col("required") | (F.col("scoring_mode") == "accepted_improvement")
-    improvement = covered & (F.col("scoring_mode") == "accepted_improvement")
-    return joined.select(
-        "paper_id", "contestant", "unit_id", "importance", "scoring_mode", scored.alias("scored"), covered.alias("covered"),
-        improvement.alias("improvement"),
-        F.when(scored & ~covered, F.when(F.col("importance") == "central", "critical")
-               .when(F.col("importance") == "supporting", "major").otherwise("minor")).alias("missing_severity"),
-    )
+    better = F.col("scoring_mode") == "accepted_improvement"
+    asked = units.where(F.col("required") | better)
+    joined = asked.join(submissions, "paper_id").join(hit, ["paper_id", "unit_id", "contestant"], "left")
+    covered = F.col("_hit").isNotNull()
+    severity = F.when(F.col("importance") == "central", "critical").when(F.col("importance") == "supporting", "major").otherwise("minor")
+    return joined.where(~covered | better).select(
+        "paper_id", "contestant", "unit_id", "importance", "scoring_mode", covered.alias("improvement"),
+        F.when(~covered, severity).alias("missing_severity"))
 
 
 def covered_units(units: DataFrame, members: DataFrame) -> DataFrame:

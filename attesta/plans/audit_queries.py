@@ -131,14 +131,24 @@ def _unresolved(t):
     ), "paper_id", "target_type", "target_id", "detail", "severity")
 
 
-@query("aud_08_finding_numbers", """
-SELECT paper_id, target_id, printf('S%03d', row_number() OVER (PARTITION BY paper_id ORDER BY finding_no)) AS finding_id,
-  CASE code """ + " ".join(f"WHEN '{k}' THEN {D.q(v)}" for k, v in fv.SUGGESTIONS.items()) + """ END AS suggestion
-FROM f_finding""")
+def _numbers_sql(prefix, arms):
+    return f"""
+SELECT paper_id, target_id, printf('{prefix}%03d', row_number() OVER (PARTITION BY paper_id ORDER BY finding_no)) AS finding_id,
+  CASE code {arms} END AS suggestion FROM f_finding"""
+
+
+@query("aud_08_finding_numbers", _numbers_sql("S", "WHEN 'missing_required_field' THEN 'Populate the field with source-bounded content.' "
+                                              "WHEN 'no_evidence_records' THEN 'Add evidence records grounded in source refs.'"))
 def _numbers(t):
     return audit.number_findings(t.finding, "S", ["finding_no"]).select("paper_id", "target_id", "finding_id", "suggestion")
 
 
+@query("aud_08b_grounding_numbers", _numbers_sql(
+    "G", "WHEN 'no_source_refs' THEN 'Add source refs grounded in the provided source payload.' ELSE 'Repair the source-ref contract.'"))
+def _grounding_numbers(t):
+    return audit.number_findings(t.finding, "G", ["finding_no"]).select("paper_id", "target_id", "finding_id", "suggestion")
+
+
 @query("aud_09_missing_source_payload", """
 SELECT CAST(doc_id AS VARCHAR) AS paper_id, 'missing_source_payload' AS code FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def _payload(t):

@@ -75,11 +75,11 @@ def _coverage(t):
 
 
 @query("sco_04_unit_status", """
-SELECT u.paper_id, s.contestant, u.unit_id, u.importance, u.scoring_mode, ok AS scored, m.unit_id IS NOT NULL AS covered,
-  m.unit_id IS NOT NULL AND scoring_mode = 'accepted_improvement' AS improvement,
-  CASE WHEN ok AND m.unit_id IS NULL THEN CASE importance WHEN 'central' THEN 'critical' WHEN 'supporting' THEN 'major' ELSE 'minor' END END AS missing_severity
-FROM f_submission s JOIN (SELECT *, required OR scoring_mode = 'accepted_improvement' AS ok FROM f_unit) u ON u.paper_id = s.paper_id
-LEFT JOIN f_unit_member m ON m.paper_id = u.paper_id AND m.unit_id = u.unit_id AND m.contestant = s.contestant""", VIEWS)
+SELECT u.paper_id, s.contestant, u.unit_id, u.importance, u.scoring_mode, m.unit_id IS NOT NULL AS improvement,
+  CASE WHEN m.unit_id IS NULL THEN CASE importance WHEN 'central' THEN 'critical' WHEN 'supporting' THEN 'major' ELSE 'minor' END END AS missing_severity
+FROM f_submission s JOIN f_unit u ON u.paper_id = s.paper_id
+LEFT JOIN f_unit_member m ON m.paper_id = u.paper_id AND m.unit_id = u.unit_id AND m.contestant = s.contestant
+WHERE CASE WHEN m.unit_id IS NULL THEN required OR scoring_mode = 'accepted_improvement' ELSE scoring_mode = 'accepted_improvement' END""", VIEWS)
 def _status(t):
     return scoring.unit_status(t.unit, t.unit_member, t.submission)
 
