@@ -44,9 +44,8 @@ def _in_span(t):
 
 
 def proposals(t):
-    """Claims as proposals: each with its quote, statements in lower case and without digits."""
-    plain = F.regexp_replace("statement", "[0-9]", "")
-    rows = t.claim.select("paper_id", F.col("claim_id").alias("candidate_id"), "span_id", plain.alias("statement"),
+    """Claims as proposals: each with its quote."""
+    rows = t.claim.select("paper_id", F.col("claim_id").alias("candidate_id"), "span_id", "statement",
                           F.lit("").alias("conditions"), "claim_type", "status", "importance")
     quotes = t.quote.select("paper_id", F.col("claim_id").alias("candidate_id"), "span_id", F.lit(0).alias("quote_pos"), "quote", "role")
     return rows, quotes
@@ -54,15 +53,18 @@ def proposals(t):
 
 VERIFIED = f"""
   SELECT c.paper_id, c.pos, c.span_id, CASE WHEN length(st) < 20 THEN 'empty_statement'
-    WHEN regexp_matches(st, {D.q('(?i)' + D.fv.BOILERPLATE_STATEMENT_PATTERN)}) THEN 'boilerplate_statement'
+    WHEN regexp_matches(st, {D.q('(?i)' + D.fv.BOILERPLATE_STATEMENT_PATTERN)}) AND len({D.numbers('st')}) = 0 THEN 'boilerplate_statement'
     WHEN length({D.collapse('q.quote')}) < 25 OR NOT (contains(s.text, {D.collapse('q.quote')}) OR contains({D.norm_quote('s.text')}, {D.norm_quote('q.quote')}))
-      THEN 'no_grounded_quote' END AS reason
-  FROM (SELECT *, {D.collapse("regexp_replace(statement, '[0-9]', '', 'g')")} AS st FROM f_claim) c
+      THEN 'no_grounded_quote'
+    WHEN len({D.missing_numbers('st', f"[left(CASE WHEN contains(s.text, {D.strip('q.quote')}) THEN {D.strip('q.quote')} ELSE {D.strip('s.text')} END, 420)]")}) > 0
+      THEN 'ungrounded_numbers' END AS reason
+  FROM (SELECT *, {D.collapse("statement")} AS st FROM f_claim) c
   JOIN f_quote q ON q.paper_id = c.paper_id AND q.pos = c.pos JOIN f_span s ON s.paper_id = c.paper_id AND s.pos = c.pos"""
 
 
 @query("grd_03_verify_candidates", """
-SELECT paper_id, span_id, reason, CASE WHEN reason IS NULL THEN 'kept' ELSE 'dropped' END AS route FROM f_verified""", {"f_verified": VERIFIED})
+SELECT paper_id, span_id, reason, CASE WHEN reason IS NULL THEN 'kept' WHEN reason = 'ungrounded_numbers' THEN 'repair' ELSE 'dropped' END AS route
+FROM f_verified""", {"f_verified": VERIFIED})
 def _verify(t):
     rows, quotes = proposals(t)
     return G.verify_candidates(rows, quotes, t.span, fuzzy=False).select("paper_id", "span_id", "reason", "route")
@@ -89,7 +91,8 @@ def _repair(t):
 
 
 @query("grd_05_grounding_report", """
-SELECT v.paper_id, v.span_id, 1 AS raw, CASE WHEN reason IS NULL THEN 1 ELSE 0 END AS kept, 0 AS repair, CASE WHEN reason IS NULL THEN 0 ELSE 1 END AS dropped,
+SELECT v.paper_id, v.span_id, 1 AS raw, CASE WHEN reason IS NULL THEN 1 ELSE 0 END AS kept,
+  CASE WHEN reason = 'ungrounded_numbers' THEN 1 ELSE 0 END AS repair, CASE WHEN reason <> 'ungrounded_numbers' THEN 1 ELSE 0 END AS dropped,
   CASE WHEN method = 'exact' THEN 1 ELSE 0 END AS n_exact, CASE WHEN method = 'normalized' THEN 1 ELSE 0 END AS n_normalized, 0 AS n_fuzzy,
   CASE WHEN method = 'failed' THEN 1 ELSE 0 END AS n_failed
 FROM f_verified v JOIN f_located l ON l.paper_id = v.paper_id AND l.pos = v.pos""", {"f_verified": VERIFIED, "f_located": LOCATED})
