@@ -12,10 +12,6 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def str_in(value: Column, allowed) -> Column:
-    return value.isin(*allowed)
-
-
 def collapse_ws(value: Column | str) -> Column:
     """Runs of any Unicode white space become one space, ends trimmed."""
     return F.trim(F.regexp_replace(F.coalesce(_col(value), F.lit("")), r"(?U)\s+", " "))
@@ -161,17 +157,10 @@ def coerce_source_role(value: Column | str) -> Column:
     return out.otherwise(F.lit("metadata"))
 
 
-MAPPING_ALIASES = {
-    "mapped": ("mapped", "match", "matched", "resolved"),
-    "ambiguous": ("ambiguous", "uncertain"),
-    "rejected": ("rejected", "reject"),
-}
-
-
 def coerce_mapping_status(value: Column | str) -> Column:
     cleaned = F.lower(strip(value))
     out = F.lit(None).cast("string")
-    for target, aliases in MAPPING_ALIASES.items():
+    for target, aliases in fv.MAPPING_ALIASES.items():
         out = F.when(cleaned.isin(*aliases), F.lit(target)).otherwise(out)
     return F.coalesce(out, F.lit("unresolved"))
 

@@ -146,10 +146,6 @@ def _struct_type(df: DataFrame) -> str:
     return "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in df.schema.fields) + ">"
 
 
-def drop_reference_lists(spans: DataFrame) -> DataFrame:
-    return spans.where(~T.is_reference_list("text"))
-
-
 def title_assessment(name: Column, section_type: Column) -> Column:
     """Struct (name, type, reliable, quality, reason) by the first rule that applies."""
     clean_type = T.collapse_ws(section_type)

@@ -75,17 +75,6 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
     return df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def first_row(df: DataFrame, keys: Sequence[str], order: Column, columns: Sequence[str]) -> DataFrame:
-    """Values of the first row per group, by a partial aggregate instead of a sort."""
-    picked = F.min_by(F.struct(*columns), order).alias("_first")
-    return df.groupBy(*keys).agg(picked).select(*keys, "_first.*")
-
-
-def ordered_list(order: str, *columns: str) -> Column:
-    """Array of structs sorted by position; for groups bounded by one row of the parent."""
-    return F.array_sort(F.collect_list(F.struct(order, *columns)))
-
-
 def stack_checks(df: DataFrame, keys: Sequence[str], checks: Sequence[tuple[str, str, Column]]) -> DataFrame:
     """One output row per check that holds: (keys, code, severity) in a single pass."""
     hits = F.array(

@@ -93,6 +93,26 @@ def _identifiers(t):
     return t.span.select(*LINE, F.array_join(X.identifiers("text"), " ").alias("identifiers"))
 
 
+@query("txt_12b_identifiers_not_in_paper", f"""
+SELECT c.paper_id, c.pos, array_to_string(list_sort(list_distinct(list_filter({D.identifiers("(c.statement || ' with ABC123')")},
+  lambda t: NOT contains(d.packed, {D.compact('t')})))), ' ') AS missing
+FROM f_claim c JOIN (SELECT doc_id, {D.compact('text')} AS packed FROM documents) d ON d.doc_id = c.doc_no""")
+def _absent(t):
+    papers = t.read("documents").select(F.col("doc_id").alias("doc_no"), X.compact("text").alias("packed"))
+    said = F.concat("statement", F.lit(" with ABC123"))
+    return t.claim.join(papers, "doc_no").select(*LINE, F.array_join(X.ungrounded_identifiers(said, F.col("packed")), " ").alias("missing"))
+
+
+@query("txt_16c_status_and_flags", """
+SELECT paper_id, pos, CASE pos % 5 WHEN 0 THEN 'mapped' WHEN 1 THEN 'ambiguous' WHEN 2 THEN 'rejected' ELSE 'unresolved' END AS mapping,
+  CASE pos % 5 WHEN 0 THEN true WHEN 1 THEN false ELSE topic = 'Topic 1' END AS flag FROM f_claim""")
+def _status_flags(t):
+    kind = F.col("pos") % 5
+    raw = F.when(kind == 0, " Matched ").when(kind == 1, "UNCERTAIN").when(kind == 2, "reject").otherwise(F.col("topic"))
+    flag = F.when(kind == 0, " Yes").when(kind == 1, "FALSE").otherwise(F.when(F.col("topic") == "Topic 1", "1").otherwise("?"))
+    return t.claim.select(*LINE, X.coerce_mapping_status(raw).alias("mapping"), X.coerce_bool(flag, False).alias("flag"))
+
+
 @query("txt_16_domain_coercion", f"""
 SELECT paper_id, pos,
   CASE WHEN replace(lower(status), ' ', '_') IN {D.in_list(fv.STATUS_VALUES)} THEN replace(lower(status), ' ', '_') ELSE 'supported' END AS status,
