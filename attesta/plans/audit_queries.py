@@ -331,7 +331,8 @@ def _issues(t):
 WITH q AS (SELECT * FROM f_quote WHERE n_spans > 0),
 c AS (SELECT f_claim.paper_id, count(*) AS claims, sum({D.words('statement')}) AS words, count(q.claim_id) AS nq,
         count(*) FILTER (importance = 'central') AS n_central, count(*) FILTER (importance = 'supporting') AS n_supporting,
-        count(*) FILTER (importance = 'minor') AS n_minor, sum(length(q.quote)) AS chars
+        count(*) FILTER (importance = 'minor') AS n_minor, sum(length(q.quote)) AS chars,
+        count(*) FILTER (len({D.numbers('f_claim.statement')}) > 0) AS claims_with_numbers
       FROM f_claim LEFT JOIN q ON q.paper_id = f_claim.paper_id AND q.claim_id = f_claim.claim_id GROUP BY f_claim.paper_id),
 s AS (SELECT paper_id, count(*) AS spans_total FROM f_span GROUP BY paper_id),
 e AS (SELECT paper_id, count(*) AS n FROM f_evidence GROUP BY paper_id)
@@ -339,11 +340,11 @@ SELECT s.paper_id, claims, coalesce(e.n, 0) AS evidence_records, spans_total, nq
   round_even(CAST(nq AS DOUBLE) / spans_total, 4) AS span_coverage,
   round_even(CAST(nq AS DOUBLE) / claims, 2) AS avg_quotes_per_claim,
   CASE WHEN nq > 0 THEN round_even(CAST(chars AS DOUBLE) / nq, 1) ELSE 0 END AS avg_quote_chars,
-  round_even(CAST(words AS DOUBLE) / claims, 1) AS avg_statement_words, n_central, n_supporting, n_minor
+  round_even(CAST(words AS DOUBLE) / claims, 1) AS avg_statement_words, n_central, n_supporting, n_minor, claims_with_numbers
 FROM s JOIN c USING (paper_id) LEFT JOIN e USING (paper_id)""")
 def _statistics(t):
     cited = t.quote.where("n_spans > 0").select("paper_id", "claim_id", "span_id", "quote")
-    return audit.artifact_statistics(t.claim, cited, t.evidence, t.span).drop("claims_with_numbers")
+    return audit.artifact_statistics(t.claim, cited, t.evidence, t.span)
 
 
 SCORE_SQL = (

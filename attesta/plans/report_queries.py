@@ -60,7 +60,7 @@ def _histogram(t):
 
 @query("rpt_04_usage_normalization", """
 SELECT event_id AS record_id, k AS prompt_tokens, CASE WHEN s = 3 THEN NULL ELSE k * 2 END AS completion_tokens, CASE WHEN s = 1 THEN 7 END AS reasoning_tokens,
-  CASE WHEN s = 1 THEN 3 WHEN s = 2 THEN 4 END AS cache_read_tokens, CASE s WHEN 0 THEN k * 5 WHEN 1 THEN k * 3 + 7 WHEN 2 THEN k * 3 END AS total_tokens,
+  CASE WHEN s = 1 THEN 3 WHEN s = 2 THEN 4 END AS cache_read_tokens, CAST(NULL AS BIGINT) AS cache_write_tokens, CASE s WHEN 0 THEN k * 5 WHEN 1 THEN k * 3 + 7 WHEN 2 THEN k * 3 END AS total_tokens,
   CASE s WHEN 0 THEN value WHEN 1 THEN value WHEN 2 THEN NULL ELSE value END AS cost_usd,
   CASE s WHEN 0 THEN 'actual' WHEN 1 THEN 'estimated' WHEN 2 THEN 'unavailable' ELSE 'actual' END AS cost_kind
 FROM (SELECT event_id, event_id % 4 AS s, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)""")
@@ -75,7 +75,7 @@ def _normalize(t):
         .when(shape == 1, F.concat(F.lit('{"input_tokens": '), k, F.lit(', "output_tokens": '), twice, F.lit(', "prompt_tokens_details": {"cached_tokens": 3}, "completion_tokens_details": {"reasoning_tokens": 7}, "response_cost": '), value, F.lit("}")))
         .when(shape == 2, F.concat(F.lit('{"prompt_tokens": '), k, F.lit(', "output_tokens": '), twice, F.lit(', "cached_tokens": 4}')))
         .otherwise(F.concat(F.lit('{"input_tokens": '), k, F.lit(', "actual_cost_usd": '), value, F.lit(', "response_cost": 1}'))))
-    return R.normalize_usage(t.read("events").select(F.col("event_id").alias("record_id"), body.alias("body"))).drop("cache_write_tokens")
+    return R.normalize_usage(t.read("events").select(F.col("event_id").alias("record_id"), body.alias("body")))
 
 
 @query("rpt_05_cost_estimation", """

@@ -99,15 +99,17 @@ def _status(t):
 
 
 @query("str_05_append_only_prefix", """
-SELECT CAST(l_orderkey AS VARCHAR) AS run_id, l_orderkey % 3 <> 0 OR count(*) FILTER (pos % 2 = 0) = 0 AS append_only, count(*) AS new_count, CASE WHEN l_orderkey % 3 <> 0 OR count(*) FILTER (pos % 2 = 0) = 0 THEN greatest(count(*) - 1, 0) ELSE 0 END AS next_offset
-FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE n > 3 GROUP BY l_orderkey""")
+SELECT CAST(l_orderkey AS VARCHAR) AS run_id, ok AS append_only, new_count, CASE WHEN ok THEN new_count - 1 ELSE 0 END AS next_offset
+FROM (SELECT l_orderkey, count(*) AS new_count, l_orderkey % 3 <> 0 OR count(*) FILTER (pos % 2 = 0 AND pos < n) = 0 AS ok
+  FROM (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS pos,
+          count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) GROUP BY l_orderkey)""")
 def _prefix(t):
     """Old lists lack the last id; in every third run the even ids were replaced."""
     from pyspark.sql import Window as W
 
     run = W.partitionBy("l_orderkey")
     lines = t.read("lineitem").select(
-        "l_orderkey", F.row_number().over(run.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("pos"), F.count("*").over(run).alias("n")).where("n > 3")
+        "l_orderkey", F.row_number().over(run.orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("pos"), F.count("*").over(run).alias("n"))
     new = lines.select(F.col("l_orderkey").cast("string").alias("run_id"), "pos", F.concat_ws("-", "l_orderkey", "pos").alias("usage_event_id"))
     changed = (F.col("l_orderkey") % 3 == 0) & (F.col("pos") % 2 == 0)
     old = lines.where("pos < n").select(F.col("l_orderkey").cast("string").alias("run_id"), "pos",

@@ -52,7 +52,7 @@ def upload_status(expected: DataFrame, stored: DataFrame, verified: bool = True)
 
 
 def prefix_check(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Does each run's new id list extend its old one?  If not, offsets restart at zero.
+    """Does each run's new id list extend its old one, an empty one included?  If not, offsets restart at zero.
 
     ``old`` / ``new``: run_id, pos, usage_event_id.
     """
@@ -61,8 +61,9 @@ def prefix_check(old: DataFrame, new: DataFrame) -> DataFrame:
         F.bool_and(F.coalesce(F.col("_new") == F.col("usage_event_id"), F.lit(False))).alias("append_only"), F.count("*").alias("old_count"))
     totals = new.groupBy("run_id").agg(F.count("*").alias("new_count"))
     joined = totals.join(per_run, "run_id", "left")
-    append = F.coalesce("append_only", F.lit(False))
-    return joined.select("run_id", append.alias("append_only"), "new_count", F.when(append, F.col("old_count")).otherwise(0).alias("next_offset"))
+    append = F.coalesce("append_only", F.lit(True))
+    return joined.select("run_id", append.alias("append_only"), "new_count",
+                         F.when(append, F.coalesce("old_count", F.lit(0))).otherwise(0).alias("next_offset"))
 
 
 def chunked_sections(rows: DataFrame, sizes: dict[str, int]) -> DataFrame:
