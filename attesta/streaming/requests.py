@@ -25,7 +25,7 @@ def rate_limited(requests: DataFrame, limit: int, window_seconds: int) -> DataFr
     keyed = requests.where(F.coalesce(F.col("key").cast("string"), F.lit("")) != "")
     free = requests.join(keyed.select("request_id"), "request_id", "left_anti").withColumn("accepted", F.lit(True))
     bucket = max(width, 3_600_000_000)
-    micros = previous(keyed.withColumn("_t", F.unix_micros("ts")), ["key"], "_t", "_t", "_before", bucket)
+    micros = previous(keyed.withColumn("_t", F.unix_micros("ts")), ["key"], "_t", "_t", "_before", bucket)  # equal times share a stretch
     opened = micros.withColumn("_new", F.when(F.col("_t") - F.col("_before") < width, 0).otherwise(1))
     stretch = running_total(opened, ["key"], ["_t"], "_new", "_stretch", bucket).withColumn(
         "_stretch", F.col("_stretch") + F.col("_new"))
@@ -46,16 +46,20 @@ def rate_limited(requests: DataFrame, limit: int, window_seconds: int) -> DataFr
 
 
 class RateLimiter(StatefulProcessor):
-    """Keeps the accepted times of one key inside the window; requests in a batch are taken in time order."""
+    """Keeps the accepted times of one key inside the window; requests in a batch are taken in time order.
+
+    A timer one window after the last accepted request clears the key's state.
+    """
 
     def __init__(self, limit: int, window_seconds: int):
         self.limit = limit
         self.width = window_seconds * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.times = handle.getListState("accepted", "t bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values(["t", "request_id"])
         recent = [row[0] for row in self.times.get()] if self.times.exists() else []
         flags = []
@@ -66,8 +70,16 @@ class RateLimiter(StatefulProcessor):
                 recent.append(int(moment))
             flags.append(accepted)
         self.times.put([(int(t),) for t in recent])
+        if recent:
+            self.handle.registerTimer((max(recent) + self.width) // 1000 + 1)
         yield pd.DataFrame({"key": key[0], "request_id": batch["request_id"].to_numpy(), "accepted": flags})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        if self.times.exists() and all(now - row[0] >= self.width for row in self.times.get()):
+            self.times.clear()
+        return iter([])
+
     def close(self) -> None:
         pass
 
@@ -77,7 +89,7 @@ def rate_limited_stream(requests: DataFrame, limit: int, window_seconds: int, la
     rows = requests.withWatermark("ts", lateness).select(F.col("key"), F.unix_micros("ts").alias("t"), "request_id")
     return rows.groupBy("key").transformWithStateInPandas(
         statefulProcessor=RateLimiter(limit, window_seconds),
-        outputStructType="key bigint, request_id bigint, accepted boolean", outputMode="Append", timeMode="None")
+        outputStructType="key bigint, request_id bigint, accepted boolean", outputMode="Append", timeMode="EventTime")
 
 
 def coalesced(requests: DataFrame) -> DataFrame:
