@@ -93,6 +93,22 @@ def test_leaks_of_the_table(spark, small_docs):
     assert {(r["doc_id"], r["item_id"]) for r in find_leaks(small_docs, items).collect()} == want
 
 
+def leaks(spark, items, docs):
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    return {(r["doc_id"], r["item_id"]): (r["coverage"], r["verbatim"]) for r in find_leaks(docs, items).collect()}
+
+
+def test_names_that_open_sentences(spark):
+    ben = "Ben buys 4 pens at the store. Ben gives 2 pens to Ann. Ben then loses 1 pen. How many pens has Ben?"
+    maria = "Maria has 3 apples. Maria gives 2 to Tom."
+    other = (ben.replace("Ben", "Zoe").replace("Ann", "Kim").replace("4", "9").replace("2", "5").replace("1", "3"),
+             maria.replace("Maria", "Lea").replace("Tom", "Jon").replace("3", "8").replace("2", "6"))
+    mixed = maria.replace("Maria gives", "Kim gives")      # one name turned into two
+    got = leaks(spark, [ben, maria], ["Here it is: " + other[0], "They said " + other[1], ben + " " + maria, mixed])
+    assert got == {(0, 0): (1.0, False), (1, 1): (1.0, False), (2, 0): (1.0, True), (2, 1): (1.0, True)}
+
+
 def test_leaks_odd_rows(odd_docs, no_docs, spark):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
