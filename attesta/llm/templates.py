@@ -177,7 +177,7 @@ def _item_rows(s: TemplateSettings):
             length = {r: np.bincount(getattr(made, r).owner, minlength=len(part)) for r in ("plain", "named", "folded")}
             own = {r: np.minimum(n, s.window) for r, n in length.items()} | {"exact": np.minimum(length["folded"], s.window)}
             rows = []
-            for name in ("plain", "named"):
+            for name in ("plain", "named", "exact"):
                 r = getattr(made, name)
                 for width in sorted({int(w) for w in own[name] if w}):
                     start, key, plain, opening = r.windows(width)
@@ -250,7 +250,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, s: TemplateSettings = Temp
     """
     small_batches(docs)
     same_text = benchmark.select("item_id", "text", text_hash().alias("_t")).distinct()
-    items = same_text.where("item_id is not null").withColumn("_t", F.lit(0).cast("long"))
+    has_id = same_text.where("item_id is not null").select("_t").distinct()
+    items = same_text.where("item_id is not null").withColumn("_t", F.lit(0).cast("long")).union(
+        same_text.where("item_id is null").join(has_id, "_t", "left_anti").select("item_id", "text", "_t"))
     searched = cut_lineage(items.mapInPandas(_item_rows(s), ITEM_SHAPE))
     widths: dict[int, list[int]] = {}
     for r in sorted(searched.select("family", "width").distinct().collect()):  # at most 3 families of ``window`` widths

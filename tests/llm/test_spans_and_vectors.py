@@ -109,6 +109,21 @@ def test_names_that_open_sentences(spark):
     assert got == {(0, 0): (1.0, False), (1, 1): (1.0, False), (2, 0): (1.0, True), (2, 1): (1.0, True)}
 
 
+def test_items_of_placeholders_and_short_items(spark):
+    sums, short, units = "Compute 12 + 7 - 3 * 4 / 2 = 17", "Name Paris.", "5 km 3 kg 2 l 8 min 7 cm 4 oz 6 ft"
+    got = leaks(spark, [sums, short, units], [
+        f"Now: {sums} is it.", "They said 'Name Paris.' aloud", f"Of {units} and more", sums.replace("+", "*"), sums.replace("12", "13"),
+        "Name of Paris", units.replace("7", "9").replace("8", "1")])
+    assert got == {(i, i): (1.0, True) for i in range(3)}
+
+
+def test_items_without_id(spark):
+    items = spark.createDataFrame([(None, ITEM), (None, "Which river runs through the old town of Bern?"), (None, None)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, ITEM), (2, "So: Which river runs through the old town of Bern? " + ITEM), (3, "None.")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in find_leaks(docs, items).collect()) == [1, 2, 2]
+    assert [r["doc_id"] for r in drop_leaking(docs, items).collect()] == [3]
+
+
 def test_leaks_odd_rows(odd_docs, no_docs, spark):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
