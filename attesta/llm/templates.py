@@ -177,7 +177,7 @@ def _item_rows(s: TemplateSettings):
             length = {r: np.bincount(getattr(made, r).owner, minlength=len(part)) for r in ("plain", "named", "folded")}
             own = {r: np.minimum(n, s.window) for r, n in length.items()} | {"exact": np.minimum(length["folded"], s.window)}
             rows = []
-            for name in ("plain", "named", "exact"):
+            for name in own:
                 r = getattr(made, name)
                 for width in sorted({int(w) for w in own[name] if w}):
                     start, key, plain, opening = r.windows(width)

@@ -124,6 +124,15 @@ def test_items_without_id(spark):
     assert [r["doc_id"] for r in drop_leaking(docs, items).collect()] == [3]
 
 
+def test_short_items_in_other_places_and_case(spark):
+    items = ["What is the capital of France?", "Who wrote Dead Souls?", "Name the largest moon of planet Saturn now."]
+    docs = [f(q) for q in items for f in (lambda q: f"they asked {q} again", lambda q: f"1) {q}", lambda q: f"- {q}",
+                                          lambda q: "so " + q.lower(), lambda q: "SO " + q.upper(), lambda q: "they asked: " + q[0].lower() + q[1:])]
+    got = leaks(spark, [*items, ITEM], [*docs, "Intro. " + ITEM.lower(), "Intro. " + ITEM.upper(), "what is the capital for France?"])
+    assert got.keys() == {(i, i // 6) for i in range(18)} | {(18, 3), (19, 3)}
+    assert all(coverage == 1 and verbatim for coverage, verbatim in got.values())
+
+
 def test_leaks_odd_rows(odd_docs, no_docs, spark):
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
