@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 import numpy as np
 import pytest
@@ -64,6 +65,35 @@ def test_bytes_odd_rows(spark, odd_docs, no_docs):
     assert got == {(1, 0), (None, len(text.encode()))}
 
 
+def colliding(spark, texts):
+    """Pairs of texts whose hashes agree in 16 bits."""
+    from pyspark.sql import functions as F
+
+    from attesta.llm.common import text_hash
+
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", text_hash().bitwiseAND(F.lit(0xFFFF)).alias("h")).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["h"], []).append(r["text"])
+    return [g for g in groups.values() if len(g) > 1]
+
+
+@pytest.mark.parametrize("shared_id", [7, None])
+def test_bytes_of_texts_that_share_an_id(spark, shared_id):
+    rng = np.random.default_rng(8)
+    base = "".join(rng.choice(list("abcdefgh"), 300))
+    own = ["".join(rng.choice(list("abcdefgh"), 150)) for _ in range(3000)]
+    texts = [f"{i:05d}{o}" + (base[:200] if i % 2 else "") for i, o in enumerate(own)]
+    pair = next(g for g in colliding(spark, texts) if len(g[0]) != len(g[1]))
+    df = spark.createDataFrame([(0, base), *[(shared_id, t) for t in pair]], "doc_id long, text string")
+    got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"]) for r in drop_repeated_bytes(df).collect())
+    assert got == [(155, 0, 0), (300, 0, 0), (355, 200, 1)]
+
+    pair = colliding(spark, [f"{base}{i:05d}" for i in range(3000)])[0][:2]   # equal content at equal start
+    df = spark.createDataFrame([(shared_id, t) for t in pair], "doc_id long, text string")
+    assert sorted(r["n_removed"] for r in drop_repeated_bytes(df).collect()) == [0, 300 + len(os.path.commonprefix([t[300:] for t in pair]))]
+
+
 ITEM = "Tom has 12 apples and gives 5 of them to Anna, so Tom keeps 7 apples after walking 3 km home."
 
 
