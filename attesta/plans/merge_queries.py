@@ -75,6 +75,29 @@ def _pooled(t):
     return M.pooled_quotes(quotes, M.premerge(tokens_only(t), number_rule=False)).select("paper_id", "leader_pos", "quote", "span_id")
 
 
+NUMBER_VIEWS = {
+    "f_tok": f"SELECT *, {D.tokens('statement')} AS tok, {D.numbers('statement')} AS nums FROM f_claim",
+    "f_edge": f"""SELECT b.paper_id, a.pos AS i, b.pos AS j FROM f_tok a JOIN f_tok b ON a.paper_id = b.paper_id AND a.pos < b.pos
+      WHERE {D.jaccard('a.tok', 'b.tok')} >= 0.5 OR ({D.jaccard('a.tok', 'b.tok')} >= 0.375 AND len(list_intersect(a.nums, b.nums)) > 0)""",
+    "f_leader": LEADERS}
+
+
+@query("mrg_02e_survivors_with_numbers", f"""
+SELECT l.paper_id, l.leader_pos AS pos, count(*) - 1 AS absorbed, ['central', 'supporting', 'minor'][min({D.rank('importance')}) + 1] AS importance
+FROM f_leader l JOIN f_claim c ON c.paper_id = l.paper_id AND c.pos = l.pos GROUP BY l.paper_id, l.leader_pos""", NUMBER_VIEWS)
+def _survivors_numbers(t):
+    rows = M.with_signature(t.claim)
+    return M.survivors(rows, M.premerge(rows)).select("paper_id", "pos", "absorbed", "importance")
+
+
+@query("mrg_02f_pooled_quotes_with_numbers", """
+SELECT l.paper_id, l.leader_pos, q.quote, arg_min(q.span_id, q.pos) AS span_id
+FROM f_leader l JOIN f_quote q ON q.paper_id = l.paper_id AND q.pos = l.pos GROUP BY l.paper_id, l.leader_pos, q.quote""", NUMBER_VIEWS)
+def _pooled_numbers(t):
+    quotes = t.quote.select("paper_id", "pos", F.lit(0).alias("quote_pos"), "span_id", "quote", "role")
+    return M.pooled_quotes(quotes, M.premerge(M.with_signature(t.claim))).select("paper_id", "leader_pos", "quote", "span_id")
+
+
 GROUPS = """
   SELECT paper_id, CAST(pos // 70 AS INTEGER) AS chunk, claim_id AS candidate_id, CAST(pos // 3 AS INTEGER) AS group_pos FROM f_claim WHERE pos % 5 <> 0
   UNION ALL SELECT paper_id, CAST(pos // 70 AS INTEGER), claim_id, CAST(pos // 3 + 1 AS INTEGER) FROM f_claim WHERE pos % 6 = 0
@@ -123,6 +146,26 @@ def _guard(t):
     return M.guard_merges(members).drop("member_pos")
 
 
+NUMBER_GUARD = f"""
+  SELECT *, rank_near <= 6 AND near AS stays FROM (
+    SELECT *, row_number() OVER (PARTITION BY paper_id, claim_key, near ORDER BY rk, page, pos) AS rank_near FROM (
+      SELECT m.*, m.first OR {D.jaccard('m.tok', 'm.ptok')} >= 0.3
+          OR ({D.jaccard('m.tok', 'm.ptok')} >= 0.15 AND len(list_intersect(m.nums, m.pnums)) > 0) AS near FROM (
+        SELECT *, first_value(tok) OVER w AS ptok, first_value(nums) OVER w AS pnums, row_number() OVER w = 1 AS first FROM (
+          SELECT paper_id, pos, claim_id, page, tok, nums, {D.rank('importance')} AS rk, CAST(pos // 10 AS INTEGER) AS claim_key FROM f_tok)
+        WINDOW w AS (PARTITION BY paper_id, claim_key ORDER BY rk, page, pos)) m))"""
+
+
+@query("mrg_04b_merge_guard_with_numbers", """
+SELECT paper_id, claim_key, claim_id AS candidate_id, stays, count(*) FILTER (NOT stays) OVER (PARTITION BY paper_id, claim_key) AS splits, first AS is_primary
+FROM f_guard""", {**NUMBER_VIEWS, "f_guard": NUMBER_GUARD})
+def _guard_numbers(t):
+    members = M.with_signature(t.claim).select(
+        "paper_id", F.floor(F.col("pos") / 10).cast("int").alias("claim_key"), F.col("pos").alias("member_pos"),
+        F.col("claim_id").alias("candidate_id"), "importance", "page", "tokens", "numbers")
+    return M.guard_merges(members).drop("member_pos")
+
+
 @query("mrg_05_retention_floor", """
 WITH c AS (SELECT paper_id, count(*) AS n, count(DISTINCT pos // 3) FILTER (pos % 5 <> 0) AS k FROM f_claim GROUP BY paper_id)
 SELECT f.paper_id, claim_id AS candidate_id, CASE WHEN k * 1.0 / n < 0.55 THEN claim_id ELSE CAST(pos // 3 AS VARCHAR) END AS claim_key, k * 1.0 / n < 0.55 AS rebuilt
