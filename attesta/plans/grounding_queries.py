@@ -79,6 +79,31 @@ def _verify_numbers(t):
         "paper_id", "candidate_id", "route", "reason", F.array_join("missing_numbers", ",").alias("missing_numbers"))
 
 
+# With the fuzzy stage, a quote with one edited character is found.
+ONE_EDIT = "(q.doc_no + q.pos) % 4 = 3"
+LOCATED_FUZZY = f"""
+  SELECT q.paper_id, q.pos, q.span_id, CASE WHEN length({D.strip('q.quote')}) < 25 THEN 'failed' WHEN contains(s.text, {D.strip('q.quote')}) THEN 'exact'
+    WHEN contains({D.norm_quote('s.text')}, {D.norm_quote('q.quote')}) THEN 'normalized' WHEN {ONE_EDIT} THEN 'fuzzy' ELSE 'failed' END AS method
+  FROM f_quote q JOIN f_span s ON s.paper_id = q.paper_id AND s.span_id = q.span_id"""
+VERIFIED_FUZZY = f"""
+  SELECT c.paper_id, c.pos, c.span_id, CASE WHEN length(st) < 20 THEN 'empty_statement'
+    WHEN regexp_matches(st, {D.q('(?i)' + D.fv.BOILERPLATE_STATEMENT_PATTERN)}) AND len({D.numbers('st')}) = 0 THEN 'boilerplate_statement'
+    WHEN length({D.collapse('q.quote')}) < 25 OR NOT ({ONE_EDIT} OR contains(s.text, {D.collapse('q.quote')}) OR contains({D.norm_quote('s.text')}, {D.norm_quote('q.quote')}))
+      THEN 'no_grounded_quote'
+    WHEN len({D.missing_numbers('st', f"[left(CASE WHEN contains(s.text, {D.strip('q.quote')}) THEN {D.strip('q.quote')} ELSE {D.strip('s.text')} END, 420)]")}) > 0
+      THEN 'ungrounded_numbers' END AS reason
+  FROM (SELECT *, {D.collapse("statement")} AS st FROM f_claim) c
+  JOIN f_quote q ON q.paper_id = c.paper_id AND q.pos = c.pos JOIN f_span s ON s.paper_id = c.paper_id AND s.pos = c.pos"""
+
+
+@query("grd_03c_verify_with_fuzzy", """
+SELECT paper_id, span_id, reason, CASE WHEN reason IS NULL THEN 'kept' WHEN reason = 'ungrounded_numbers' THEN 'repair' ELSE 'dropped' END AS route
+FROM f_verified""", {"f_verified": VERIFIED_FUZZY})
+def _verify_with_fuzzy(t):
+    rows, quotes = proposals(t)
+    return G.verify_candidates(rows, quotes, t.span).select("paper_id", "span_id", "reason", "route")
+
+
 @query("grd_04_repair_pass")
 def _repair(t):
     """Rows sent to repair come back with the numbers struck out."""
@@ -101,6 +126,17 @@ def _report(t):
     return G.grounding_report(G.verify_candidates(rows, quotes, t.span, fuzzy=False), G.locate_quotes(t.quote, t.span, fuzzy=False))
 
 
+@query("grd_05b_report_with_fuzzy", """
+SELECT v.paper_id, v.span_id, 1 AS raw, CASE WHEN reason IS NULL THEN 1 ELSE 0 END AS kept,
+  CASE WHEN reason = 'ungrounded_numbers' THEN 1 ELSE 0 END AS repair, CASE WHEN reason <> 'ungrounded_numbers' THEN 1 ELSE 0 END AS dropped,
+  CASE WHEN method = 'exact' THEN 1 ELSE 0 END AS n_exact, CASE WHEN method = 'normalized' THEN 1 ELSE 0 END AS n_normalized,
+  CASE WHEN method = 'fuzzy' THEN 1 ELSE 0 END AS n_fuzzy, CASE WHEN method = 'failed' THEN 1 ELSE 0 END AS n_failed
+FROM f_verified v JOIN f_located l ON l.paper_id = v.paper_id AND l.pos = v.pos""", {"f_verified": VERIFIED_FUZZY, "f_located": LOCATED_FUZZY})
+def _report_with_fuzzy(t):
+    rows, quotes = proposals(t)
+    return G.grounding_report(G.verify_candidates(rows, quotes, t.span), G.locate_quotes(t.quote, t.span))
+
+
 @query("grd_06_final_quote_guard", f"""
 SELECT paper_id, claim_id, pos, span_id, role, kind <> 'none' AS verified,
   CASE kind WHEN 'exact' THEN plain WHEN 'normalized' THEN {D.strip('line')} ELSE quote END AS quote FROM (
@@ -127,6 +163,18 @@ def _refs(t):
     return found.select("paper_id", "ref_key", "span_id", "quote")
 
 
+@query("grd_07b_verified_ref_with_fuzzy")
+def _refs_with_fuzzy(t):
+    """No SQL: where the edited character was `ß`, the located text ends a character early."""
+    base = t.quote.select(
+        "paper_id", F.col("pos").alias("ref_key"), "quote",
+        F.posexplode(F.array(F.concat(F.col("paper_id"), F.lit("-span-9999")), F.col("span_id"))).alias("span_pos", "span_id"))
+    from attesta.functions import text as X
+
+    found = G.verified_refs(base.withColumn("quote", X.strip("quote")), t.span)
+    return found.select("paper_id", "ref_key", "span_id", "quote")
+
+
 SPANS_OF_WORDS = f"""
   SELECT paper_id, span_id, norm, w FROM (
     SELECT paper_id, span_id, lower({D.collapse('text')}) AS norm, unnest(list_distinct(list_filter(

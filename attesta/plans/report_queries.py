@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from attesta.operators import grounding
 from attesta.operators import reports as R
 from attesta.plans import duck as D
-from attesta.plans.grounding_queries import LOCATED
+from attesta.plans.grounding_queries import LOCATED, LOCATED_FUZZY
 from attesta.plans.registry import query
 from attesta.plans.scoring_queries import VIEWS, paper_scores
 from attesta.plans.tables import CONTESTANTS
@@ -103,6 +103,14 @@ def _funnel(t):
     return R.span_funnel(t.span, located, t.claim.where("pos % 3 = 0").select("paper_id", "span_id", "claim_id"))
 
 
+@query("rpt_07b_span_funnel_with_fuzzy", """
+SELECT s.paper_id, s.span_id, 1 AS raw, CASE WHEN l.method <> 'failed' THEN 1 ELSE 0 END AS grounded, CASE WHEN s.pos % 3 = 0 THEN 1 ELSE 0 END AS citing
+FROM f_span s JOIN f_located l ON l.paper_id = s.paper_id AND l.pos = s.pos""", {"f_located": LOCATED_FUZZY})
+def _funnel_with_fuzzy(t):
+    located = grounding.locate_quotes(t.quote, t.span).select("paper_id", "span_id", (F.col("method") != "failed").alias("kept"))
+    return R.span_funnel(t.span, located, t.claim.where("pos % 3 = 0").select("paper_id", "span_id", "claim_id"))
+
+
 @query("rpt_08_claim_export", f"""
 WITH l AS (SELECT paper_id, claim_id, evidence_id, min(ref_pos) AS p FROM f_claim_evidence GROUP BY paper_id, claim_id, evidence_id),
 g AS (SELECT l.paper_id, l.claim_id, string_agg(l.evidence_id, '; ' ORDER BY p, l.evidence_id) AS ids, count(e.evidence_id) AS n,

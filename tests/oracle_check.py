@@ -70,6 +70,8 @@ MUST_HOLD = {
     "grd_03b_verify_with_numbers": lambda rows: all(
         (r.route == "kept") == (r.reason is None) and (r.route == "repair") == bool(r.missing_numbers) for r in rows),
     "grd_04_repair_pass": lambda rows: all(r.repaired for r in rows),
+    "grd_07b_verified_ref_with_fuzzy": lambda rows: all(r.quote is None or 0 < len(r.quote) <= 420 for r in rows)
+    and len({(r.paper_id, r.ref_key) for r in rows}) == len(rows) and {r.quote is None for r in rows} == {True, False},
     "mrg_06_finalize_claims": lambda rows: all(r.n_quotes == len(set(r.span_ids.split(","))) and r.statement for r in rows),
     "src_04_markup_spans": _sections_follow,
     "txt_17_strip_numbers": lambda rows: not any(re.search(r"(?<!\S)\d+(?!\S)", r.plain) for r in rows),
