@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from attesta.llm.queries_sql import PERSONAL_DATA, RANKED, WITNESSES
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -161,3 +163,37 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from attesta.llm.langid_crf import identify_languages
 
     return identify_languages(table(spark, folder, "documents").select("doc_id", "text", "lang"))
+
+
+@query("op11_dual_tree_search", RANKED)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    from attesta.llm.dual_tree import search
+
+    return search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_checked_personal_data", PERSONAL_DATA)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    from attesta.llm.personal_data import BASE, find_personal_data, joined_spans
+
+    found = find_personal_data(table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("personal", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in BASE]
+    return found.select("doc_id", *counts, F.sha2(joined_spans("personal", BASE), 256).alias("base_sha256"),
+                        joined_spans("personal").alias("spans"))
+
+
+@query("op13_incremental_witnesses", WITNESSES)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    from attesta.llm import merkle
+
+    docs = table(spark, folder, "documents")
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = merkle.leaf_digest(*fields, F.col("text"))
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    other = merkle.leaf_digest(*fields, F.when(tampered, F.translate("text", "\n", "")).otherwise(F.col("text")))
+    leaves = docs.select("doc_id", "source", leaf.alias("leaf"), other.alias("given"))
+    known = merkle.witnesses(merkle.build(leaves))
+    return known.select(
+        "row.doc_id", "row.leaf", "subroot", "root", merkle.proof_digest(F.col("steps")).alias("proof_sha256"),
+        merkle.fold(F.col("steps"), F.col("row.given")).alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
