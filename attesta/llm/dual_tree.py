@@ -201,8 +201,7 @@ class Best:
     def add(self, item: int, scores: np.ndarray, ids: np.ndarray, ties: np.ndarray) -> None:
         """Equal scores by ascending id, then tie."""
         if len(scores) > self.k:
-            least = np.partition(scores.astype(float), -self.k)[-self.k]
-            keep = scores >= least
+            keep = scores >= np.sort(scores)[-self.k]
             scores, ids, ties = scores[keep], ids[keep], ties[keep]
         held = self.held[item]
         for score, i, tie in zip(scores.tolist(), ids.tolist(), ties.tolist()):
