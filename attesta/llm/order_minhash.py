@@ -228,12 +228,16 @@ def _grouped(docs: DataFrame, s: OrderSettings) -> DataFrame:
     links = cut_lineage(_verified_pairs(pairs, items, s))
     found = cut_lineage(connected_components(links))
     # members that their leader did not join are compared with all of the bucket, block by block
-    member = large.select("key", "node", "n").join(found, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-    open_keys = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = member.join(open_keys, "key").withColumn("parts", F.ceil(F.col("n") / s.block).cast("int")).withColumn(
-        "mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    left = rest.withColumns({"side": F.lit(0), "p": F.col("mine"), "q": F.explode(F.sequence("mine", F.col("parts") - 1))})
-    right = rest.withColumns({"side": F.lit(1), "q": F.col("mine"), "p": F.explode(F.sequence(F.lit(0), "mine"))})
+    comps = large.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    led = leads.join(found, leads["lead"] == found["node"], "left").select("key", F.coalesce("component", "lead").alias("led"))
+    member = cut_lineage(comps.join(led, "key").withColumn("left_over", F.col("comp") != F.col("led")).drop("led"))
+    open_keys = member.where("left_over").groupBy("key").agg(F.count("*").alias("r"))
+    parts = lambda c: F.ceil(F.col(c) / s.block).cast("int")                                     # noqa: E731
+    mine = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")                            # noqa: E731
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))                              # noqa: E731
+    rest = member.join(open_keys, "key").withColumns({"ps": parts("r"), "qs": parts("n")})
+    left = rest.where("left_over").withColumns({"side": F.lit(0), "p": mine("ps")}).withColumn("q", every("qs"))
+    right = rest.withColumns({"side": F.lit(1), "q": mine("qs")}).withColumn("p", every("ps"))
     work = left.unionByName(right).select("key", "p", "q", "side", "node", "comp").join(items, "node")
     more = work.groupBy("key", "p", "q").applyInPandas(_block_links(s), "a long, b long")
     joined = connected_components(links.union(cut_lineage(more)))
