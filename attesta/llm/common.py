@@ -27,6 +27,13 @@ def text_hash(column: str = "text") -> Column:
     return F.xxhash64(F.col(column).isNull(), F.col(column))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
 def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """Finaliser that spreads every input bit over a 64-bit word (wrapping arithmetic)."""
     z = x.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)

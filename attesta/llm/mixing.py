@@ -193,8 +193,8 @@ def slots_of(docs: DataFrame, plans: list[SourcePlan], s: MixSettings) -> DataFr
 def mix_pieces(docs: DataFrame, s: MixSettings = MixSettings()) -> tuple[DataFrame, DataFrame]:
     """(documents, pieces): documents with source size and target; pieces are the mix itself.
 
-    A piece (out_shard, slot, doc_id, word_from, word_to, and the document's
-    _src, _off, _h) says which words of a document fill which part of a slot.
+    A piece (out_shard, slot, doc_id, source, word_from, word_to, and the
+    document's _src, _off, _h, _copy) says which words of a document fill which part of a slot.
     Documents without words take no part.  A null source is a source of its
     own, after all others; a repeated row is one more document of its source.
     """
@@ -203,7 +203,7 @@ def mix_pieces(docs: DataFrame, s: MixSettings = MixSettings()) -> tuple[DataFra
         F.floor(F.col("_off") / s.block), F.floor((F.col("_off") + F.col("size") - 1) / s.block))))
     inside = F.col("_block") * s.block
     parts = parts.select(
-        "doc_id", "_h", "_src", "_off", "_block", F.greatest(F.lit(0), inside - F.col("_off")).alias("word_from"),
+        "doc_id", "source", "_h", "_copy", "_src", "_off", "_block", F.greatest(F.lit(0), inside - F.col("_off")).alias("word_from"),
         F.least(F.col("size"), inside + s.block - F.col("_off")).alias("word_to"),
         F.greatest(F.lit(0), F.col("_off") - inside).alias("_at"))
     joined = slots_of(docs, plans, s).join(parts, ["_src", "_block"]).where("_at < _take")
@@ -232,22 +232,29 @@ def mixed_documents(docs: DataFrame, s: MixSettings = MixSettings()) -> DataFram
     """The mix as a table of the columns of ``docs``: a row for every piece of a document in a slot.
 
     ``text`` holds the piece's words and ``n_chars`` (where present) its
-    length; other columns are the document's own.
+    length; other columns are the document's own, also where rows share id and
+    text.  Rows without words (null, empty, blank texts) take no part; a
+    repeated row is mixed as often as it stands there.
     """
     small_batches(docs)
     _, pieces = mix_pieces(docs, s)
-    lists = pieces.groupBy("doc_id", "_h").agg(  # at most most_repeats + 1 entries a block of one document
+    lists = pieces.groupBy("doc_id", "source", "_h", "_copy").agg(  # at most most_repeats + 1 entries a block of one document
         F.collect_list(F.struct("word_from", "word_to")).alias("_pieces"))
-    rows = docs.withColumn("_h", text_hash())
-    one = rows.groupBy("doc_id", "_h").agg(F.first(F.struct(*docs.columns)).alias("_doc"))
-    both = one.join(lists.withColumnRenamed("doc_id", "_id").withColumnRenamed("_h", "_g"),
-                    F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_g")))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    mark = [*own, *[c.isNull() for c in own]]               # two hashes tell rows apart; equal rows are one, with copies
+    rows = docs.select(F.struct(*own).alias("_doc"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
+                       text_hash().alias("_g"), F.xxhash64(*mark).alias("_v"), F.xxhash64(F.lit(1), *reversed(mark)).alias("_w"))
+    same = rows.groupBy("_id", "_source", "_g", "_v", "_w").agg(F.count("*").alias("_n"))
+    numbered = same.withColumn("_to", F.sum("_n").over(W.partitionBy("_id", "_source", "_g").orderBy("_v", "_w")))
+    wanted = numbered.join(lists, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (
+        F.col("_h") == F.col("_g")) & (F.col("_copy") <= F.col("_to")) & (F.col("_copy") > F.col("_to") - F.col("_n"))).select("_v", "_w", "_pieces")
+    both = rows.groupBy("_v", "_w").agg(F.any_value("_doc").alias("_doc")).join(wanted, ["_v", "_w"])
 
     @F.pandas_udf("array<string>")
     def cut(text: pd.Series, wanted: pd.Series) -> pd.Series:
         return pd.Series([_cut_words(t, sorted((p["word_from"], p["word_to"]) for p in w)) for t, w in zip(text, wanted, strict=True)], dtype=object)
 
-    made = both.withColumn("_text", F.explode(cut(F.col("_doc.text"), F.col("_pieces"))))
-    columns = [F.col("_text").alias("text") if c == "text" else F.length("_text").cast(t).alias(c) if c == "n_chars"
+    made = both.select("_doc", F.explode(cut(F.col("_doc.text"), F.col("_pieces"))).alias("_piece"))
+    columns = [F.col("_piece").alias(c) if c == "text" else F.length("_piece").cast(t).alias(c) if c == "n_chars"
                else F.col(f"_doc.`{c}`").alias(c) for c, t in docs.dtypes]
     return made.select(*columns)

@@ -23,6 +23,7 @@ from attesta.llm.common import (
     batch_words,
     connected_components,
     distinct_words,
+    free_name,
     key_filter,
     mix64,
     passes,
@@ -267,5 +268,7 @@ def keep_one_per_group(docs: DataFrame, s: OrderSettings = OrderSettings()) -> D
 
     A row goes by its id and its text, as two texts may share an id.
     """
-    gone = _grouped(docs, s).where("not kept").select(F.col("doc_id").alias("_gone"), F.col("_h").alias("_text")).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (text_hash() == F.col("_text")), "left_anti")
+    of_id, of_text = free_name(docs, "_gone"), free_name(docs, "_text")
+    gone = _grouped(docs.select("doc_id", "text"), s).where("not kept").select(
+        F.col("doc_id").alias(of_id), F.col("_h").alias(of_text)).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col(of_id)) & (text_hash() == F.col(of_text)), "left_anti")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import distinct_words, key_filter, mix64, passes, slices, small_batches, text_hash, word_hashes
+from attesta.llm.common import distinct_words, free_name, key_filter, mix64, passes, slices, small_batches, text_hash, word_hashes
 from attesta.session import cut_lineage
 
 # Unit words that may follow a number.
@@ -290,5 +290,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, s: TemplateSettings = Temp
 
 def drop_leaking(docs: DataFrame, benchmark: DataFrame, s: TemplateSettings = TemplateSettings()) -> DataFrame:
     """The rows of ``docs`` whose text leaks no benchmark item, with their columns."""
-    gone = find_leaks(docs, benchmark, s).select(F.col("_h").alias("_text")).distinct()
-    return docs.join(gone, text_hash() == F.col("_text"), "left_anti")
+    of_text = free_name(docs, "_text")
+    gone = find_leaks(docs.select("doc_id", "text"), benchmark, s).select(F.col("_h").alias(of_text)).distinct()
+    return docs.join(gone, text_hash() == F.col(of_text), "left_anti")

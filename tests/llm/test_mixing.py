@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from attesta.llm.mixing import IndexPermutation, MixSettings, mix_pieces, mix_report, mixed_documents, targets
 
@@ -75,3 +76,20 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and all(r["taken"] <= 3 * r["size"] for r in rows)
     assert mixed_documents(odd_docs).columns == odd_docs.columns and mixed_documents(odd_docs).count() > 0
     assert mix_report(no_docs).count() == 0 and mixed_documents(no_docs).count() == 0
+
+
+def test_rows_keep_their_own_columns(spark):
+    """Rows that share id and text keep their source and other columns, clashing names included."""
+    from attesta.llm.mixing import mixed_documents
+    from attesta.llm.order_minhash import keep_one_per_group
+    from attesta.llm.templates import drop_leaking
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en", "s1", 1), (1, text, "de", "s2", 2), (1, text, "fr", "s2", 3), (1, text, "fr", "s2", 3), (2, text + " x", "en", None, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.concat(F.lit("mine"), F.coalesce("source", F.lit("-")), "lang") for c in ("_h", "_doc", "_piece", "_gone", "_text", "_g", "_copy")})
+    mixed = mixed_documents(docs).collect()
+    assert {(r.doc_id, r.lang, r.source) for r in mixed} == {(1, "en", "s1"), (1, "de", "s2"), (1, "fr", "s2"), (2, "en", None)}
+    items = spark.createDataFrame([(1, "never found in any of these texts at all")], "item_id long, text string")
+    for out in (mixed, keep_one_per_group(docs).collect(), drop_leaking(docs, items).collect()):
+        assert out and all(r[c] == f"mine{r.source or '-'}{r.lang}" for r in out for c in ("_h", "_doc", "_piece", "_gone", "_text", "_g", "_copy"))
