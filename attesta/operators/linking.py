@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from attesta.functions import fixed_values as fv
 from attesta.functions import text as X
 from attesta.operators.frames import stack_checks, top_rows
+from attesta.operators.retrieval import best_partners, containment
 from attesta.session import cut_lineage
 
 
@@ -27,13 +28,12 @@ def retrieve_evidence(claims: DataFrame, candidates: DataFrame, k: int = 25) ->
     asked = claims.select("paper_id", "claim_pos", "claim_id", hashed.alias("c_terms"))
     sets = asked.groupBy("paper_id", "c_terms").agg(F.min("claim_pos").alias("c_set"))
     texts = candidates.select("paper_id", "pos", "candidate_id", hashed.alias("e_terms"))
-    firsts = top_rows(texts, ["paper_id", "e_terms"], [F.col("pos")], k)
+    firsts = cut_lineage(top_rows(texts, ["paper_id", "e_terms"], [F.col("pos")], k))
     groups = firsts.groupBy("paper_id", "e_terms").agg(F.min("pos").alias("e_pos"))
-    left = sets.select("paper_id", "c_set", F.size("c_terms").alias("c_size"), F.explode("c_terms").alias("term"))
-    right = groups.select("paper_id", "e_pos", F.explode("e_terms").alias("term"))
-    shared = left.join(right, ["paper_id", "term"]).groupBy("paper_id", "c_set", "c_size", "e_pos").agg(F.count("*").alias("n"))
-    scored = shared.select("paper_id", "c_set", "e_pos", (F.col("n") / F.col("c_size")).alias("score"))
-    best_sets = top_rows(scored, ["paper_id", "c_set"], [F.col("score").desc(), F.col("e_pos")], k)
+    best_sets = best_partners(
+        sets.select("paper_id", F.col("c_set").alias("a"), F.col("c_terms").alias("terms")),
+        groups.select("paper_id", F.col("e_pos").alias("o"), F.col("e_terms").alias("terms")), k, containment, F.col("o")).select(
+        "paper_id", F.col("a").alias("c_set"), F.col("o").alias("e_pos"), "score")
     members = firsts.join(groups, ["paper_id", "e_terms"]).select("paper_id", "e_pos", "pos", "candidate_id")
     hits = best_sets.join(members, ["paper_id", "e_pos"]).select("paper_id", "c_set", "pos", "candidate_id", "score")
     positive = cut_lineage(top_rows(hits, ["paper_id", "c_set"], [F.col("score").desc(), F.col("pos")], k))
