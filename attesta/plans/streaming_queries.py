@@ -90,6 +90,42 @@ def _sink(t):
     return t.spark.read.parquet(target).select("usage_event_id", "event_type")
 
 
+CHUNK = 4
+USAGE = f"""
+  SELECT *, count(*) OVER (PARTITION BY run_id) AS expected,
+    min(CASE WHEN id IS NULL THEN pos // {CHUNK} * {CHUNK} END) OVER (PARTITION BY run_id) AS refused FROM (
+    SELECT CAST(user_id AS VARCHAR) AS run_id, user_id, pos, CASE WHEN user_id % 5 = 1 AND pos = 6 THEN NULL WHEN user_id % 7 = 2 AND pos = 1 THEN first ELSE event_id END AS id
+    FROM (SELECT user_id, event_id, row_number() OVER w - 1 AS pos, first_value(event_id) OVER w AS first
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))"""
+
+
+@query("str_04c_chunk_ledger", f"""
+WITH sent AS (SELECT *, least(coalesce(refused, expected), CASE WHEN user_id % 3 = 0 THEN {CHUNK} ELSE expected END) AS upto FROM f_usage),
+r AS (SELECT run_id, user_id, expected, refused, upto, count(DISTINCT id) FILTER (pos < upto) AS inserted, count(DISTINCT id) AS ids FROM sent GROUP BY ALL)
+SELECT run_id, expected, inserted, CASE WHEN upto < expected OR user_id % 4 = 3 THEN NULL ELSE ids END AS stored,
+  CASE WHEN upto < expected OR user_id % 4 = 3 OR ids = expected THEN upto ELSE 0 END AS next_offset,
+  CASE WHEN upto < expected THEN CASE WHEN refused IS NOT NULL AND upto = refused AND (user_id % 3 <> 0 OR refused < {CHUNK}) THEN 'failed' ELSE 'uploading' END
+    WHEN user_id % 4 = 3 THEN 'uploaded_unverified' WHEN ids = expected THEN 'complete' ELSE 'pending' END AS status FROM r""", {"f_usage": USAGE})
+def _ledger(t):
+    """Every run sends one chunk and stops; two thirds resume; a quarter is never verified.
+
+    Some runs hold an event without id, some an id twice.
+    """
+    from pyspark.sql import Window as W
+
+    run = W.partitionBy("user_id").orderBy("ts", "event_id")
+    pos, user = F.col("pos"), F.col("user_id")
+    listed = t.read("events").select("user_id", "event_id", "event_type", (F.row_number().over(run) - 1).alias("pos"), F.first("event_id").over(run).alias("first"))
+    rows = listed.select(
+        user.cast("string").alias("run_id"), "user_id", "pos", "event_type",
+        F.when((user % 5 == 1) & (pos == 6), None).when((user % 7 == 2) & (pos == 1), F.col("first")).otherwise(F.col("event_id")).alias("usage_event_id"))
+    to = uploads.Delivery(scratch(t, "delivery"), CHUNK)
+    uploads.send_chunks(rows, to, chunks=1)
+    uploads.send_chunks(rows.where(user % 3 != 0), to)
+    uploads.verify_deliveries(rows.where(user % 4 != 3), to)
+    return uploads.ledger_state(t.spark, to).select("run_id", "expected", "inserted", "stored", "next_offset", "status")
+
+
 @query("str_04b_upload_status", """
 SELECT CAST(user_id AS VARCHAR) AS run_id, count(*) AS expected, count(*) FILTER (event_type <> 'error' OR user_id % 2 = 0) AS stored,
   CASE WHEN count(*) FILTER (event_type <> 'error' OR user_id % 2 = 0) >= count(*) THEN 'complete' ELSE 'pending' END AS status FROM events GROUP BY user_id""")
@@ -158,11 +194,11 @@ def _backlog(t):
 @query("str_09_incremental_runs", """
 SELECT run_name, count(*) AS paper_count, count(*) FILTER (status = 'completed') AS completed, max(updated_at) AS updated_at FROM f_run GROUP BY run_name""", {"f_run": RUN})
 def _monitor(t):
-    """Orders land as files; the streamed rollup ends where the batch one does."""
-    landing = scratch(t, "landing")
-    runs(t).write.parquet(landing)
-    stream = t.spark.readStream.schema(t.spark.read.parquet(landing).schema).option("maxFilesPerTrigger", 4).parquet(landing)
-    out = scratch(t, "rollup")
-    monitor.monitored_runs(stream, out, scratch(t, "state")).awaitTermination()
-    versions = t.spark.read.option("basePath", out).parquet(out)
-    return versions.where(F.col("version") == versions.agg(F.max("version")).scalar()).select("run_name", "paper_count", "completed", "updated_at")
+    """Orders land as files in two triggers; the runs kept up to date end where the batch rollup does."""
+    landing, out, state = scratch(t, "landing"), scratch(t, "rollup"), scratch(t, "state")
+    early = F.col("paper_pos") % 2 == 0
+    for part in (runs(t).where(early), runs(t).where(~early)):
+        part.write.mode("append").parquet(landing)
+        stream = t.spark.readStream.schema(part.schema).parquet(landing)
+        monitor.monitored_runs(stream, out, state).awaitTermination()
+    return monitor.current_runs(t.spark, out).select("run_name", "paper_count", "completed", "updated_at")

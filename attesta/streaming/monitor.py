@@ -2,29 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from attesta.operators.reports import run_rollup
+from attesta.sources.folders import entries, remove
+
+
+def _nodes(first: str, past: str, top: str) -> Column:
+    """The slots ``first`` .. ``past`` - 1 as at most two blocks a level; a block of level k holds 2^k slots."""
+    return F.expr(f"""
+      flatten(transform(sequence(0, {top}), k -> filter(array(
+        CASE WHEN -shiftright(-{first}, k) < shiftright({past}, k) AND -shiftright(-{first}, k) % 2 != 0
+          THEN named_struct('level', k, 'node', -shiftright(-{first}, k)) END,
+        CASE WHEN -shiftright(-{first}, k) < shiftright({past}, k) AND shiftright({past}, k) % 2 != 0
+          THEN named_struct('level', k, 'node', shiftright({past}, k) - 1) END), n -> n IS NOT NULL)))""")
+
+
+def covering_blocks(intervals: DataFrame) -> DataFrame:
+    """``intervals`` (with _from, _to: slots of start and end) listed under the blocks that fill the slots between.
+
+    A list grows with the logarithm of the interval's length.
+    """
+    wide = F.greatest(F.col("_to") - F.col("_from"), F.lit(1))
+    return intervals.withColumn("_top", F.floor(F.log2(wide)).cast("int")).withColumn("_past", F.col("_from") + 1).select(
+        "*", F.inline(_nodes("_past", "_to", "_top")))
+
+
+def _summarised(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"),
+                                   F.max("peak").alias("peak"), F.min("low").alias("low"))
 
 
 def interval_summary(intervals: DataFrame, samples: DataFrame, step_seconds: float, slot_seconds: int) -> DataFrame:
     """First, last, peak and minimum sample per interval; the nearest sample if none lies inside.
 
     ``intervals``: host, interval_id, started, ended; ``samples``: host, ts,
-    sample_no, value.  A range join through time slots: an interval is listed in
-    every slot it touches and a sample in its own, so the join is an equi-join
-    and each pair meets once.  The fallback looks within two steps of the middle.
+    sample_no, value.  Samples are summed up per slot of time and per block of
+    1, 2, 4, ... slots.  An interval meets single samples in its first and last
+    slot only and whole blocks between, so its cost grows with the logarithm of
+    its length.  The fallback looks within two steps of the middle.
     """
     slot = lambda ts: F.floor(F.unix_micros(ts) / (slot_seconds * 1_000_000))
     valid = intervals.where(F.col("ended") >= F.col("started"))
-    placed = samples.select("host", "ts", "sample_no", "value", slot("ts").alias("_slot"))
-    listed = valid.withColumn("_slot", F.explode(F.sequence(slot("started"), slot("ended"))))
-    inside = listed.join(placed, ["host", "_slot"]).where(F.col("ts").between(F.col("started"), F.col("ended")))
-    found = inside.groupBy("host", "interval_id").agg(
-        F.count("*").alias("samples"), F.min_by("value", F.struct("ts", "sample_no")).alias("first_value"),
-        F.max_by("value", F.struct("ts", "sample_no")).alias("last_value"), F.max("value").alias("peak"), F.min("value").alias("low"))
+    placed = samples.where(F.col("ts").isNotNull()).select("host", "ts", "sample_no", "value", slot("ts").alias("_slot"))
+    row = F.struct("ts", "sample_no", "value")
+    single = placed.select("host", "_slot", "ts", F.lit(1).cast("bigint").alias("n"), row.alias("first"), row.alias("last"),
+                           F.col("value").alias("peak"), F.col("value").alias("low"))
+    spans = valid.select("host", "interval_id", "started", "ended", slot("started").alias("_from"), slot("ended").alias("_to"))
+    listed = covering_blocks(spans).select("host", "interval_id", "level", "node")
+    levels = F.sequence(F.lit(0), F.coalesce(listed.agg(F.max("level")).scalar(), F.lit(0)))
+    blocks = _summarised(_summarised(single, "host", "_slot").withColumn("level", F.explode(levels)).withColumn(
+        "node", F.expr("shiftright(_slot, level)")), "host", "level", "node")
+    between = listed.join(blocks, ["host", "level", "node"]).select("host", "interval_id", "n", "first", "last", "peak", "low")
+    ends = spans.withColumn("_slot", F.explode(F.array_distinct(F.array("_from", "_to"))))
+    outer = ends.join(single, ["host", "_slot"]).where(F.col("ts").between(F.col("started"), F.col("ended")))
+    found = _summarised(between.unionByName(outer.select(*between.columns)), "host", "interval_id").select(
+        "host", "interval_id", F.col("n").alias("samples"), F.col("first.value").alias("first_value"),
+        F.col("last.value").alias("last_value"), "peak", "low")
     lonely = valid.join(found.select("host", "interval_id"), ["host", "interval_id"], "left_anti")
     middle = (F.unix_micros("started") + F.unix_micros("ended")) / 2
     reach = step_seconds * 2 * 1_000_000
@@ -37,10 +75,43 @@ def interval_summary(intervals: DataFrame, samples: DataFrame, step_seconds: flo
     return found.unionByName(nearest)
 
 
-def monitored_runs(results: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the run rollup current as result files land: each trigger rewrites the changed totals."""
+def monitored_runs(results: DataFrame, path: str, checkpoint: str, lateness: str = "1 day", key: list[str] | None = None) -> StreamingQuery:
+    """Keep the run rollup current as result files land: each trigger upserts the runs it changed, and only those.
+
+    ``results`` as for ``run_rollup``.  With ``key`` (say run_name, paper_pos) a
+    result that comes again within ``lateness`` of ``updated_at`` is taken once.
+    Each trigger owns one folder of changed rows, so a repeated trigger rewrites
+    its own; ``current_runs`` reads the newest row of each run.
+    """
     def publish(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        batch.withColumn("version", F.lit(epoch).cast("bigint")).write.mode("overwrite").parquet(f"{path}/changes/epoch={epoch}")
 
-    return run_rollup(results).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(publish).trigger(
+    if key:
+        timed = results.withColumn("_seen", F.col("updated_at").cast("timestamp")).withWatermark("_seen", lateness)
+        results = timed.dropDuplicatesWithinWatermark(key).drop("_seen")
+    return run_rollup(results).writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(publish).trigger(
         availableNow=True).start()
+
+
+def _held(spark: SparkSession, path: str) -> list[str]:
+    return [entry for part in ("base", "changes") for entry in entries(spark, f"{path}/{part}")]
+
+
+def current_runs(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of each run: the folded base and the changes after it."""
+    rows = spark.read.parquet(*_held(spark, path))
+    kept = [c for c in rows.columns if c != "version"]
+    newest = rows.groupBy("run_name").agg(F.max_by(F.struct(*kept), "version").alias("_row"), F.max("version").alias("version"))
+    return newest.select("_row.*", "version")
+
+
+def fold_changes(spark: SparkSession, path: str) -> None:
+    """Write the newest rows as the base, then delete what it replaces; run it while no trigger does.
+
+    A crash in between leaves rows twice with equal versions, which ``current_runs`` reads as one.
+    """
+    base = f"{path}/base/{uuid.uuid4().hex}"
+    old = _held(spark, path)
+    current_runs(spark, path).write.parquet(base)
+    for entry in old:
+        remove(spark, entry)

@@ -2,47 +2,69 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from attesta.operators.frames import previous, running_total
 
 
+def _scan(limit: int, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Flags rows that arrive by stretch and time; between batches it holds the last ``limit`` accepted times only.
+
+    With fewer accepted requests than ``limit``, or the oldest of the last
+    ``limit`` a whole window back, the next request is accepted.
+    """
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stretch, recent = None, deque(maxlen=limit)
+        for batch in batches:
+            keys, numbers = batch.column("_key").to_pylist(), batch.column("_stretch").to_pylist()
+            flags = []
+            for row, moment in zip(zip(keys, numbers), batch.column("_t").to_pylist()):
+                if row != stretch:
+                    stretch = row
+                    recent.clear()
+                accepted = len(recent) < limit or moment - recent[0] >= width
+                if accepted:
+                    recent.append(moment)
+                flags.append(accepted)
+            kept = [name for name in batch.schema.names if name not in ("_key", "_stretch", "_t")]
+            yield batch.select(kept).append_column("accepted", pa.array(flags, pa.bool_()))
+
+    return flag
+
+
 def rate_limited(requests: DataFrame, limit: int, window_seconds: int) -> DataFrame:
     """Batch twin: accepted flag per request; only accepted requests count against the limit.
 
-    ``requests``: key, ts, request_id.  A gap of a whole window between two
-    requests empties the window, so each key is first cut into independent
-    stretches; the ordered fold then carries at most ``limit`` accepted times.
+    ``requests``: key, ts, request_id, and any other columns but ``accepted``.
+    A gap of a whole window between two requests empties the window, so each key
+    is cut into independent stretches; Spark deals rows by stretch, sorts them by
+    time, and one scan flags them batch by batch.  Requests with a blank key or
+    without a time are accepted and never count.
     """
     if limit <= 0:
         return requests.withColumn("accepted", F.lit(True))
     width = window_seconds * 1_000_000
-    keyed = requests.where(F.coalesce(F.col("key").cast("string"), F.lit("")) != "")
-    free = requests.join(keyed.select("request_id"), "request_id", "left_anti").withColumn("accepted", F.lit(True))
     bucket = max(width, 3_600_000_000)
-    micros = previous(keyed.withColumn("_t", F.unix_micros("ts")), ["key"], "_t", "_t", "_before", bucket)  # equal times share a stretch
-    opened = micros.withColumn("_new", F.when(F.col("_t") - F.col("_before") < width, 0).otherwise(1))
-    stretch = running_total(opened, ["key"], ["_t"], "_new", "_stretch", bucket).withColumn(
-        "_stretch", F.col("_stretch") + F.col("_new"))
-    grouped = stretch.groupBy("key", "_stretch").agg(
-        F.array_sort(F.collect_list(F.struct("_t", "request_id"))).alias("_r"))
-    start = F.struct(F.array().cast("array<bigint>").alias("recent"), F.array().cast("array<struct<request_id:bigint,accepted:boolean>>").alias("out"))
-
-    def step(acc: Column, item: Column) -> Column:
-        recent = F.filter(acc["recent"], lambda t: item["_t"] - t < width)
-        ok = F.size(recent) < limit
-        row = F.struct(item["request_id"].alias("request_id"), ok.alias("accepted"))
-        return F.struct(
-            F.when(ok, F.concat(recent, F.array(item["_t"]))).otherwise(recent).alias("recent"),
-            F.concat(acc["out"], F.array(row)).alias("out"))
-
-    flags = grouped.select(F.inline(F.aggregate("_r", start, step, lambda acc: acc["out"])))
-    return keyed.join(flags, "request_id").select(*requests.columns, "accepted").unionByName(free.select(*requests.columns, "accepted"))
+    name = F.col("key").cast("string")
+    free = (F.coalesce(name, F.lit("")) == "") | F.col("ts").isNull()
+    packed = requests.where(~free).select(
+        F.struct(*requests.columns).alias("_row"), name.alias("_key"), F.unix_micros("ts").alias("_t"), F.col("request_id").alias("_id"))
+    before = previous(packed, ["_key"], "_t", "_t", "_before", bucket)  # equal times share a stretch
+    opened = before.withColumn("_new", F.when(F.col("_t") - F.col("_before") < width, 0).otherwise(1))
+    numbered = running_total(opened, ["_key"], ["_t"], "_new", "_open", bucket).withColumn("_stretch", F.col("_open") + F.col("_new"))
+    dealt = numbered.repartition("_key", "_stretch").sortWithinPartitions("_key", "_stretch", "_t", "_id")
+    schema = StructType([*requests.schema.fields, StructField("accepted", BooleanType())])
+    inner = StructType([StructField("_row", requests.schema), StructField("accepted", BooleanType())])
+    flagged = dealt.select("_key", "_stretch", "_t", "_row").mapInArrow(_scan(limit, width), inner)
+    return flagged.select("_row.*", "accepted").unionByName(requests.where(free).withColumn("accepted", F.lit(True))).to(schema)
 
 
 class RateLimiter(StatefulProcessor):
