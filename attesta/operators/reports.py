@@ -58,25 +58,62 @@ def severity_histogram(findings: DataFrame, keys: list[str]) -> DataFrame:
     return findings.groupBy(*keys, "severity").agg(F.count("*").alias("n")).withColumn("severity_order", order)
 
 
+def _number(v: Column, kind: str, *paths: str) -> Column:
+    """The first of ``paths`` that holds a number, not a text of digits; counts lose their fraction."""
+    numeric = lambda p: F.schema_of_variant(F.try_variant_get(v, p, "variant")).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT)")
+    return F.coalesce(*[F.when(numeric(p), F.try_variant_get(v, p, kind)) for p in paths])
+
+
+def _usage_fields(v: Column) -> list[Column]:
+    """Usage fields of one JSON object."""
+    number = lambda kind, *paths: _number(v, kind, *paths)
+    prompt = number("bigint", "$.prompt_tokens", "$.input_tokens")
+    completion = number("bigint", "$.completion_tokens", "$.output_tokens")
+    reasoning = number("bigint", "$.reasoning_tokens", "$.completion_tokens_details.reasoning_tokens")
+    actual = number("double", "$.actual_cost_usd", "$.cost_usd", "$.cost")
+    estimated = number("double", "$.estimated_cost_usd", "$.response_cost")
+    return [
+        prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), reasoning.alias("reasoning_tokens"),
+        number("bigint", "$.cache_read_tokens", "$.cached_tokens", "$.prompt_tokens_details.cached_tokens").alias("cache_read_tokens"),
+        number("bigint", "$.cache_write_tokens").alias("cache_write_tokens"),
+        F.coalesce(number("bigint", "$.total_tokens"), prompt + completion + F.coalesce(reasoning, F.lit(0))).alias("total_tokens"),
+        F.coalesce(actual, estimated).alias("cost_usd"),
+        F.when(actual.isNotNull(), "actual").when(estimated.isNotNull(), "estimated").otherwise("unavailable").alias("cost_kind")]
+
+
 def normalize_usage(records: DataFrame) -> DataFrame:
     """Usage fields from mixed JSON shapes: aliases, detail sub-objects, derived total, actual before estimated cost.
 
     ``records``: record_id, body.
     """
+    return records.select("record_id", *_usage_fields(F.try_parse_json("body")))
+
+
+USAGE_PLACES = (
+    "$.usage", "$.token_usage", "$.usage_metadata", "$.response.usage", "$.response.token_usage", "$.response.usage_metadata",
+    "$.response._hidden_params", "$._hidden_params")
+
+
+def record_usage(records: DataFrame) -> DataFrame:
+    """Usage of whole call records, whose usage objects may lie in the record, its response or hidden parameters.
+
+    ``records``: record_id, body.  Each field is taken from the first place that
+    has it, the kind of the cost from the first place there is; a cost of the
+    record itself comes before all.  Records without tokens and cost give no row.
+    """
     v = F.try_parse_json("body")
-    first = lambda kind, *paths: F.coalesce(*[F.try_variant_get(v, p, kind) for p in paths])
-    prompt = first("bigint", "$.prompt_tokens", "$.input_tokens")
-    completion = first("bigint", "$.completion_tokens", "$.output_tokens")
-    reasoning = first("bigint", "$.reasoning_tokens", "$.completion_tokens_details.reasoning_tokens")
-    actual = first("double", "$.actual_cost_usd", "$.cost_usd", "$.cost")
-    estimated = first("double", "$.estimated_cost_usd", "$.response_cost")
-    return records.select(
-        "record_id", prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), reasoning.alias("reasoning_tokens"),
-        first("bigint", "$.cache_read_tokens", "$.cached_tokens", "$.prompt_tokens_details.cached_tokens").alias("cache_read_tokens"),
-        first("bigint", "$.cache_write_tokens").alias("cache_write_tokens"),
-        F.coalesce(first("bigint", "$.total_tokens"), prompt + completion + F.coalesce(reasoning, F.lit(0))).alias("total_tokens"),
-        F.coalesce(actual, estimated).alias("cost_usd"),
-        F.when(actual.isNotNull(), "actual").when(estimated.isNotNull(), "estimated").otherwise("unavailable").alias("cost_kind"))
+    objects = F.filter(F.array(*[F.try_variant_get(v, p, "variant") for p in USAGE_PLACES]),
+                       lambda c: F.coalesce(F.startswith(F.schema_of_variant(c), F.lit("OBJECT")), F.lit(False)))
+    found = records.select(
+        "record_id", _number(v, "double", "$.actual_cost_usd").alias("_exact"), _number(v, "double", "$.cost_usd", "$.cost").alias("_near"),
+        F.transform(objects, lambda c: F.struct(*_usage_fields(c))).alias("_found"))
+    field = lambda name: F.get(F.filter(F.transform("_found", lambda u: u[name]), lambda x: x.isNotNull()), F.lit(0))
+    usage = found.select(
+        "record_id", *[field(name).alias(name) for name in TOKEN_FIELDS],
+        F.coalesce("_exact", "_near", field("cost_usd")).alias("cost_usd"),
+        F.when(F.col("_exact").isNotNull(), "actual").when(F.col("_near").isNotNull(), "estimated").otherwise(
+            F.coalesce(F.get("_found", F.lit(0))["cost_kind"], F.lit("unavailable"))).alias("cost_kind"))
+    return usage.where(F.coalesce("prompt_tokens", "completion_tokens", "total_tokens").isNotNull() | F.col("cost_usd").isNotNull())
 
 
 def estimate_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:

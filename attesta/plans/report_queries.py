@@ -78,6 +78,29 @@ def _normalize(t):
     return R.normalize_usage(t.read("events").select(F.col("event_id").alias("record_id"), body.alias("body")))
 
 
+@query("rpt_04b_usage_of_records", """
+SELECT event_id AS record_id, CASE WHEN s IN (0, 1, 3) THEN k END AS prompt_tokens, CASE WHEN s IN (0, 1) THEN 2 * k END AS completion_tokens,
+  CASE s WHEN 0 THEN 999999 + 2 * k WHEN 1 THEN 3 * k WHEN 2 THEN k END AS total_tokens,
+  CASE WHEN s IN (1, 3) THEN value WHEN s = 4 THEN 2 END AS cost_usd,
+  CASE s WHEN 3 THEN 'estimated' WHEN 4 THEN 'actual' ELSE 'unavailable' END AS cost_kind
+FROM (SELECT event_id, event_id % 6 AS s, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events) WHERE s < 5""")
+def _records(t):
+    """Records with usage in the record, in its response or in hidden parameters; a sixth has none."""
+    fill = lambda text: F.replace(F.replace(F.replace(F.lit(text), F.lit("<k>"), F.col("k").cast("string")), F.lit("<2k>"), (F.col("k") * 2).cast("string")),
+                                  F.lit("<v>"), F.col("value").cast("string"))
+    shape = F.col("event_id") % 6
+    body = (
+        F.when(shape == 0, fill('{"usage": {"prompt_tokens": <k>}, "response": {"usage": {"prompt_tokens": 999999, "completion_tokens": <2k>}}}'))
+        .when(shape == 1, fill('{"response": {"usage_metadata": {"input_tokens": <k>, "output_tokens": <2k>}, "_hidden_params": {"response_cost": <v>}}}'))
+        .when(shape == 2, fill('{"usage": "none", "token_usage": {"prompt_tokens": "12", "total_tokens": <k>.9}}'))
+        .when(shape == 3, fill('{"usage": {"prompt_tokens": <k>, "response_cost": 1}, "cost": <v>}'))
+        .when(shape == 4, fill('{"_hidden_params": {"cost_usd": <v>}, "actual_cost_usd": 2}'))
+        .otherwise(F.lit('{"response": {"usage": [1]}}')))
+    rows = t.read("events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    return R.record_usage(rows.select(F.col("event_id").alias("record_id"), body.alias("body"))).select(
+        "record_id", "prompt_tokens", "completion_tokens", "total_tokens", "cost_usd", "cost_kind")
+
+
 @query("rpt_05_cost_estimation", """
 SELECT call_no, round_even(CASE WHEN cost_micro IS NOT NULL THEN cost_micro / 1000000.0 WHEN (prompt_tokens IS NOT NULL OR completion_tokens IS NOT NULL) AND model <> 'vendor/m2'
     THEN (coalesce(prompt_tokens, 0) * CASE model WHEN 'vendor/m0' THEN 2.0 ELSE 0.5 END + coalesce(completion_tokens, 0) * CASE model WHEN 'vendor/m0' THEN 8.0 ELSE 1.5 END) / 1000000 END, 8) AS cost_usd
