@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attesta.functions import fixed_values as fv
 from attesta.functions import numbers as N
 from attesta.functions import text as X
 from attesta.operators.frames import ordinal, top_rows
+from attesta.session import cut_lineage
 
 
 def coerce_domains(claims: DataFrame) -> DataFrame:
@@ -94,6 +96,72 @@ def trace_nodes(nodes: DataFrame, refs: DataFrame, claims: DataFrame, max_depth:
     return built, extra
 
 
+def _trace_levels(replies: DataFrame, max_depth: int) -> DataFrame:
+    """Nodes of nested replies with their path, the positions taken from the root down; children that are no objects are left out."""
+    def children(parents: DataFrame, node: Column) -> DataFrame:
+        listed = parents.select("paper_id", "_path", F.posexplode(F.try_variant_get(node, "$.children", "array<variant>")).alias("_at", "_node"))
+        return listed.where(F.startswith(F.schema_of_variant("_node"), F.lit("OBJECT"))).select(
+            "paper_id", F.concat("_path", F.array("_at")).alias("_path"), "_node")
+
+    level = replies.select("paper_id", F.array().cast("array<int>").alias("_path"), F.try_parse_json("body").alias("_node"))
+    found = None
+    for _ in range(max_depth):
+        level = children(level, F.col("_node"))
+        found = level if found is None else found.unionByName(level)
+    return found
+
+
+def nested_trace(replies: DataFrame, claims: DataFrame, max_depth: int = 4) -> DataFrame:
+    """The whole trace of each paper as rows: root Q0, the nested nodes in preorder, a result node for each topic left over.
+
+    ``replies``: paper_id (unique), body (JSON of the root), title, n_spans;
+    ``claims``: paper_id, pos, claim_id, topic.  Ids count on through all nodes of
+    a paper, Q for questions (also where no type is given) and R for the rest.
+    Nodes below ``max_depth`` are left out, their claims stay uncovered.  Without
+    JSON there is the root only, and every claim is left over.
+    """
+    text = lambda node, key: X.collapse_ws(F.coalesce(F.try_variant_get(node, f"$.{key}", "string"), F.lit("")))
+    node = F.col("_node")
+    kind = F.try_variant_get(node, "$.node_type", "variant")
+    listed = lambda key: F.coalesce(F.try_variant_get(node, f"$.{key}", "array<string>"), F.array().cast("array<string>"))
+    named = F.when(F.size(listed("claim_ids")) > 0, listed("claim_ids")).otherwise(listed("evidence"))
+    order = W.partitionBy("paper_id").orderBy("_path")  # the nodes of one reply
+    tree = cut_lineage(_trace_levels(replies, max_depth).select(
+        "paper_id", "_path", F.row_number().over(order).alias("_no"),
+        (kind.isNull() | F.coalesce(F.try_variant_get(node, "$.node_type", "string") == "question", F.lit(False))).alias("_asks"),
+        F.coalesce(F.nullif(F.try_variant_get(node, "$.node_type", "string"), F.lit("")), F.lit("question")).alias("node_type"),
+        F.coalesce(F.try_variant_get(node, "$.support_level", "string") == "explicit", F.lit(False)).alias("_explicit"),
+        (F.size(listed("span_ids")) > 0).alias("_spans"), F.coalesce(F.nullif(text(node, "summary"), F.lit("")), F.lit(fv.NOT_AVAILABLE)).alias("summary"),
+        named.alias("_refs")).withColumn("node_id", F.concat(F.when(F.col("_asks"), "Q").otherwise("R"), F.col("_no").cast("string"))))
+    refs = tree.select("paper_id", "_no", F.posexplode("_refs").alias("_at", "claim_id"))
+    valid = refs.join(claims.select("paper_id", "claim_id").distinct(), ["paper_id", "claim_id"], "left_semi")
+    kept = valid.groupBy("paper_id", "_no").agg(F.array_sort(F.collect_list(F.struct("_at", "claim_id"))).alias("_kept"))
+    parents = tree.select("paper_id", F.col("_path").alias("_up"), F.col("node_id").alias("_parent"))
+    supported = F.col("_explicit") & (F.col("_spans") | F.col("_kept").isNotNull())
+    depth = F.size("_path")
+    built = tree.join(kept, ["paper_id", "_no"], "left").withColumn("_up", F.slice("_path", F.lit(1), depth - 1)).join(
+        parents, ["paper_id", "_up"], "left").select(
+        "paper_id", "node_id", F.coalesce("_parent", F.lit("Q0")).alias("parent_id"), F.col("_no").alias("place"), depth.alias("depth"), "node_type",
+        F.when(supported, "explicit").otherwise("inferred").alias("support_level"), "summary",
+        F.coalesce(F.transform("_kept", lambda k: k["claim_id"]), F.array().cast("array<string>")).alias("claim_ids"))
+    sizes = tree.groupBy("paper_id").agg(F.max("_no").alias("_nodes"))
+    uncovered = claims.join(replies.select("paper_id"), "paper_id", "left_semi").join(
+        valid.select("paper_id", "claim_id").distinct(), ["paper_id", "claim_id"], "left_anti")
+    topics = uncovered.groupBy("paper_id", "topic").agg(F.min("pos").alias("_first"), F.array_sort(F.collect_list(F.struct("pos", "claim_id"))).alias("_kept"))
+    placed = topics.join(sizes, "paper_id", "left").withColumn(
+        "place", F.coalesce("_nodes", F.lit(0)) + F.row_number().over(W.partitionBy("paper_id").orderBy("_first")))
+    extra = placed.select(
+        "paper_id", F.concat(F.lit("R"), F.col("place").cast("string")).alias("node_id"), F.lit("Q0").alias("parent_id"), "place", F.lit(1).alias("depth"),
+        F.lit("result").alias("node_type"), F.lit("explicit").alias("support_level"), F.concat(F.lit("Results on "), "topic").alias("summary"),
+        F.transform("_kept", lambda k: k["claim_id"]).alias("claim_ids"))
+    asked = F.concat(F.lit("What does the paper '"), F.coalesce("title", F.lit("None")), F.lit("' establish?"))
+    root = replies.select(
+        "paper_id", F.lit("Q0").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit(0).alias("place"), F.lit(0).alias("depth"),
+        F.lit("question").alias("node_type"), F.when(F.col("n_spans") > 0, "explicit").otherwise("inferred").alias("support_level"),
+        F.coalesce(F.nullif(text(F.try_parse_json("body"), "summary"), F.lit("")), asked).alias("summary"), F.array().cast("array<string>").alias("claim_ids"))
+    return root.unionByName(built).unionByName(extra)
+
+
 def overlay_metadata(papers: DataFrame, supplied: DataFrame, claims: DataFrame, fields: list[str], top: int = 8) -> DataFrame:
     """Fill only empty fields; claims_summary falls back to the first central statements."""
     renamed = supplied.select("paper_id", "claims_summary", *[X.collapse_ws(f).alias(f"_s_{f}") for f in fields])

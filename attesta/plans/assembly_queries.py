@@ -80,6 +80,35 @@ def _trace_left(t):
     return nodes(t)[1].select("paper_id", "topic", "first_pos", "n_claims")
 
 
+TRACE = """{"summary": "  What  holds ", "children": [
+  {"node_type": "question", "support_level": "explicit", "summary": "a", "claim_ids": ["C01"], "children": [
+    "skip",
+    {"node_type": "result", "support_level": "explicit", "summary": "b", "claim_ids": [], "evidence": ["C02", "C7777"], "children": [
+      {"summary": "c", "children": [
+        {"node_type": null, "support_level": "explicit", "span_ids": ["s1"], "children": [{"summary": "too deep", "claim_ids": ["C03"]}]}]}]}]},
+  {"node_type": "result", "support_level": "explicit", "summary": "e", "evidence": ["C7777"]}]}"""
+
+
+@query("asm_06c_nested_trace", """
+WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS paper_id, doc_id % 3 <> 0 AS traced, source FROM documents),
+n AS (SELECT * FROM (VALUES ('Q1', 'Q0', 1, 1, 'question', 'explicit', 'a', 'C01'), ('R2', 'Q1', 2, 2, 'result', 'explicit', 'b', 'C02'), ('Q3', 'R2', 3, 3, 'question', 'inferred', 'c', NULL),
+  ('R4', 'Q3', 4, 4, 'question', 'spans', 'Not available from provided input', NULL), ('R5', 'Q0', 5, 1, 'result', 'inferred', 'e', NULL)) v(node_id, parent_id, place, depth, node_type, support, summary, ref)),
+tree AS (SELECT p.paper_id, n.*, c.claim_id FROM p CROSS JOIN n LEFT JOIN f_claim c ON c.paper_id = p.paper_id AND c.claim_id = n.ref WHERE traced),
+rest AS (SELECT paper_id, traced, topic, min(pos) AS first, string_agg(claim_id, ',' ORDER BY pos) AS claim_ids FROM f_claim c JOIN p USING (paper_id)
+  WHERE NOT (traced AND claim_id IN ('C01', 'C02')) GROUP BY ALL)
+SELECT paper_id, 'Q0' AS node_id, NULL AS parent_id, 0 AS place, 0 AS depth, 'question' AS node_type, 'explicit' AS support_level,
+  CASE WHEN traced THEN 'What holds' ELSE 'What does the paper ''' || source || ''' establish?' END AS summary, '' AS claim_ids FROM p
+UNION ALL SELECT paper_id, node_id, parent_id, place, depth, node_type, CASE WHEN support = 'spans' OR claim_id IS NOT NULL THEN 'explicit' ELSE 'inferred' END, summary, coalesce(claim_id, '') FROM tree
+UNION ALL SELECT paper_id, 'R' || k, 'Q0', k, 1, 'result', 'explicit', 'Results on ' || topic, claim_ids
+FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY first) + CASE WHEN traced THEN 5 ELSE 0 END AS k FROM rest)""")
+def _nested_trace(t):
+    """A trace five levels deep for two thirds of the papers, none for the others."""
+    docs = t.read("documents")
+    replies = docs.select(F.col("doc_id").cast("string").alias("paper_id"), F.when(F.col("doc_id") % 3 != 0, TRACE).alias("body"),
+                          F.col("source").alias("title"), F.lit(1).alias("n_spans"))
+    return A.nested_trace(replies, t.claim).withColumn("claim_ids", F.array_join("claim_ids", ","))
+
+
 @query("asm_07_metadata_overlay", """
 SELECT CAST(doc_id AS VARCHAR) AS paper_id, CASE WHEN doc_id % 3 = 0 THEN 'T ' || lang ELSE source END AS title, CASE WHEN doc_id % 2 = 0 THEN 'given' ELSE coalesce(c.s, '') END AS claims_summary
 FROM documents LEFT JOIN (SELECT paper_id, string_agg(statement, '|' ORDER BY pos) AS s FROM (
