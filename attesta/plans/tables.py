@@ -377,10 +377,12 @@ def oracle(sql: str, views: dict[str, str] | None = None) -> str:
     """Prefix ``sql`` with the CTEs it uses, directly or through other views."""
     known = {**VIEWS, **(views or {})}
     needed: list[str] = []
+    entered: set[str] = set()
 
     def visit(text: str) -> None:
         for name in known:
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if name not in entered and re.search(rf"\b{name}\b", text):
+                entered.add(name)  # a recursive view names itself
                 visit(known[name])
                 needed.append(name)
 
