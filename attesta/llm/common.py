@@ -34,6 +34,12 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named by position, so that no helper column can clash, and each column's new name."""
+    names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """Finaliser that spreads every input bit over a 64-bit word (wrapping arithmetic)."""
     z = x.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (salt + 1)) & 0xFFFFFFFFFFFFFFFF)

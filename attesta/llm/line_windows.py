@@ -12,16 +12,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attesta.llm.common import text_hash
+from attesta.llm.common import numbered, text_hash
 
 WIDTH = 3
 PLACE = ["_n", "_id", "_h"]
 
 
-def _with_lines(docs: DataFrame) -> DataFrame:
-    lines = F.coalesce(F.split("text", "\n", -1), F.array().cast("array<string>"))
+def _with_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    lines = F.coalesce(F.split(text, "\n", -1), F.array().cast("array<string>"))
     return docs.withColumns({
-        "_n": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_h": text_hash(), "_lines": lines})
+        "_n": F.col(doc_id).isNull(), "_id": F.coalesce(doc_id, F.lit(0)), "_h": text_hash(text), "_lines": lines})
 
 
 def _windows(rows: DataFrame) -> DataFrame:
@@ -52,10 +52,11 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     A null text stays null with no lines; an empty text is one blank line and
     stays.  Rows that repeat both id and text are one document: none of them is
     earlier than the other, and each gets the same result.  Blank lines inside
-    a removed span go with it.  Input columns named like an output are replaced.
+    a removed span go with it.  Input columns named like an output are replaced,
+    any other name is kept with its values.
     """
-    base = docs.drop("n_lines", "n_removed", "n_spans")
-    rows = _with_lines(base)
+    base, named = numbered(docs.drop("n_lines", "n_removed", "n_spans"))
+    rows = _with_lines(base, named["doc_id"], named["text"])
     starts = repeated_windows(_with_lines(docs.select("doc_id", "text"))).groupBy(*PLACE).agg(
         F.array_sort(F.collect_set("start")).alias("_starts"))
     both = rows.join(starts, PLACE, "left").withColumn("_starts", F.coalesce("_starts", F.array().cast("array<int>")))
@@ -72,8 +73,8 @@ def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     gap_to = F.concat("_from", F.array(F.size("_lines")))
     kept = F.flatten(F.transform(F.arrays_zip(gap_from.alias("f"), gap_to.alias("t")),
                                  lambda g: F.slice("_lines", g["f"] + 1, g["t"] - g["f"])))
-    columns = [F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.array_join("_kept", "\n")).alias("text")
-               if c == "text" else F.col(f"`{c}`") for c in base.columns]
+    cleaned = F.when(F.col(named["text"]).isNull(), F.lit(None)).otherwise(F.array_join("_kept", "\n"))
+    columns = [(cleaned if name == "text" else F.col(c)).alias(name) for name, c in named.items()]
     return both.withColumn("_kept", kept).select(
         *columns, F.size("_lines").alias("n_lines"), (F.size("_lines") - F.size("_kept")).alias("n_removed"),
         F.size("_begin").alias("n_spans"))

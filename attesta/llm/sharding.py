@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from attesta.llm.common import text_hash
+from attesta.llm.common import numbered, text_hash
 from attesta.session import cut_lineage
 
 LOWEST = -(2**63)
@@ -113,14 +113,16 @@ def shard_documents(docs: DataFrame, settings: ShardSettings = ShardSettings())
     (law ``bytes``), so grown_shard is null.  A null text has size 1 and crc 0.
     A null id or text is an ordinary key; repeated rows are neighbours that
     take slots in any order, which no column shows.  Input columns named like
-    an output are replaced.  An empty table gives no rows.
+    an output are replaced, any other name is kept with its values.  An empty
+    table gives no rows.
     """
     made = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    base = docs.drop(*made)
-    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")
+    base, named = numbered(docs.drop(*made))
+    text, doc_id = named["text"], named["doc_id"]
+    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
     keyed = base.withColumns({
-        "_size": size, "_k": text_hash(), "_t": F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id")),
-        "_crc": F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")})
+        "_size": size, "_k": text_hash(text), "_t": F.xxhash64(F.col(doc_id).isNull(), F.col(doc_id)),
+        "_crc": F.coalesce(F.crc32(F.col(text).cast("binary")), F.lit(0)).cast("long")})
     slim = cut_lineage(keyed.select("_k", "_t", "_size"))
     whole = slim.agg(F.sum("_size").alias("b")).first()["b"] or 1
     splitters, held = splitters_for(slim, settings, whole)
@@ -152,6 +154,6 @@ def shard_documents(docs: DataFrame, settings: ShardSettings = ShardSettings())
     starts = F.array(*[F.lit(int(first.get(s, 0))).cast("long") for s in range(settings.shards)])
     out = placed(keyed)
     return out.select(
-        *base.columns, F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"),
+        *[F.col(c).alias(name) for name, c in named.items()], F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("bytes").alias("law"),
         F.col("_shard").alias("shard"), (F.col("_rank") - F.get(starts, F.col("_shard"))).alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"))

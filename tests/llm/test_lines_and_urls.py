@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from attesta.llm.line_windows import drop_repeated_lines
 from attesta.llm.url_reputation import ReputationSettings, host_reputation, judge_urls
@@ -26,6 +27,18 @@ def test_odd_lines(odd_docs, no_docs):
     assert all(r["n_removed"] == 0 and r["n_lines"] == (0 if r["text"] is None else r["text"].count("\n") + 1) for r in rows)
 
 
+HELPERS = ("_h", "_n", "_id", "_lines", "_kept", "_from", "_to", "_at", "_begin", "_starts", "_said", "_w", "_c1", "a.b")
+
+
+def test_clashing_names_keep_their_values(spark):
+    rows = [(1, "a\nb\nc", "x"), (2, "q\na\nb\nc", "y"), (None, "a\nb\nc", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, own string").withColumns(
+        {c: F.concat(F.lit("mine"), "own") for c in HELPERS})
+    out = {r["own"]: r for r in drop_repeated_lines(docs).collect()}
+    assert all(r[c] == f"mine{own}" for own, r in out.items() for c in HELPERS)
+    assert {own: r["text"] for own, r in out.items()} == {"x": "a\nb\nc", "y": "q", "z": ""}
+
+
 def test_plan_has_no_python(spark, small_docs):
     plan = drop_repeated_lines(small_docs)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
