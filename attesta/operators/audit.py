@@ -243,6 +243,7 @@ def artifact_issues(papers: DataFrame, claims: DataFrame, claim_evidence: DataFr
     )
     expected = F.least(F.lit(3), F.col("n_summary"))
     paper_issues = [
+        issue(wide.where(X.is_blank("paper_id")), "paper.paper_id", "missing"),
         issue(wide.where(F.coalesce("title", F.lit("")) == ""), "paper.title", "missing"),
         issue(wide.where("n_claims = 0"), "logic.claims", "missing"),
         issue(wide.where((expected > 0) & (F.col("n_claims") < expected)), "logic.claims", "insufficient_coverage"),
@@ -306,3 +307,30 @@ def report_rollup(papers: DataFrame, findings: DataFrame, scores: DataFrame) ->
         F.when(F.col("has_artifact"), F.coalesce("score", F.lit(1.0))).otherwise(0.0).alias("score"),
         F.when(F.col("has_artifact"), F.coalesce("passed", F.lit(True))).otherwise(False).alias("passed"),
     )
+
+
+def report_details(papers: DataFrame, findings: DataFrame) -> DataFrame:
+    """What ``report_rollup`` counts, in full: severity_summary (map, every severity) and findings (list of structs).
+
+    ``papers``: paper_id (unique), has_artifact; ``findings``: paper_id,
+    pass_name, finding_no, target_id, code, severity.  The list runs by pass
+    (structural, grounding, rigor, then others by name), then by finding_no; it
+    holds the findings of one artifact.  A paper without an artifact has none
+    and says so in ``error``.  Unknown severities count in the list only.
+    """
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(p) for p in ("structural", "grounding", "rigor")]), F.col("pass_name")),
+                                F.lit(0)), F.lit(4))
+    listed = F.struct(place.alias("_place"), "pass_name", "finding_no", "target_id", "code", "severity")
+    grouped = findings.groupBy("paper_id").agg(
+        F.array_sort(F.collect_list(listed)).alias("_all"),
+        *[F.count(F.when(F.col("severity") == level, 1)).alias(f"_{level}") for level in fv.SEVERITY_PENALTY_HUNDREDTHS])
+    both = papers.join(grouped, "paper_id", "left")
+    there = F.coalesce("has_artifact", F.lit(False))
+    fields = ("pass_name", "finding_no", "target_id", "code", "severity")
+    found = F.transform("_all", lambda f: F.struct(*[f[name].alias(name) for name in fields]))
+    summary = F.create_map(*[c for level in fv.SEVERITY_PENALTY_HUNDREDTHS for c in (
+        F.lit(level), F.when(there, F.coalesce(f"_{level}", F.lit(0))).otherwise(0))])
+    return both.select(
+        "paper_id", F.when(~there, "artifact missing").alias("error"), summary.alias("severity_summary"),
+        F.when(there & F.col("_all").isNotNull(), found).otherwise(
+            F.array().cast("array<struct<pass_name:string,finding_no:long,target_id:string,code:string,severity:string>>")).alias("findings"))

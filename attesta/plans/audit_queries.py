@@ -369,3 +369,21 @@ def _report(t):
     found = t.finding.withColumn("pass_name", names)
     head = t.read("documents").select(F.col("doc_id").cast("string").alias("paper_id"), (F.col("doc_id") % 6 != 5).alias("has_artifact"))
     return audit.report_rollup(head, found, scoring.score_findings(t.finding, ["paper_id"]))
+
+
+@query("aud_28b_report_details", """
+SELECT p.paper_id, CASE WHEN NOT has THEN 'artifact missing' END AS error, CASE WHEN has THEN coalesce(c, 0) ELSE 0 END AS n_critical,
+  CASE WHEN has THEN coalesce(m, 0) ELSE 0 END AS n_major, CASE WHEN has THEN coalesce(w, 0) ELSE 0 END AS n_warning,
+  CASE WHEN has THEN coalesce(listed, '') ELSE '' END AS findings
+FROM (SELECT CAST(doc_id AS VARCHAR) AS paper_id, doc_id % 6 <> 5 AS has FROM documents) p
+LEFT JOIN (SELECT paper_id, count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'major') AS m,
+  count(*) FILTER (severity = 'warning') AS w,
+  string_agg((['structural', 'grounding', 'rigor'])[finding_no % 3 + 1] || ':' || finding_no || ':' || target_id || ':' || code || ':' || severity, ', '
+             ORDER BY finding_no % 3, finding_no) AS listed FROM f_finding GROUP BY paper_id) f USING (paper_id)""")
+def _details(t):
+    names = F.element_at(F.array(F.lit("structural"), F.lit("grounding"), F.lit("rigor")), (F.col("finding_no") % 3 + 1).cast("int"))
+    head = t.read("documents").select(F.col("doc_id").cast("string").alias("paper_id"), (F.col("doc_id") % 6 != 5).alias("has_artifact"))
+    told = audit.report_details(head, t.finding.withColumn("pass_name", names))
+    line = lambda f: F.concat_ws(":", f["pass_name"], f["finding_no"].cast("string"), f["target_id"], f["code"], f["severity"])
+    return told.select("paper_id", "error", *[F.try_element_at("severity_summary", F.lit(level)).alias(f"n_{level}") for level in ("critical", "major", "warning")],
+                       F.array_join(F.transform("findings", line), ", ").alias("findings"))

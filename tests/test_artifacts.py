@@ -6,7 +6,7 @@ import json
 
 import pytest
 
-from attesta.operators import artifact_links, schema_check
+from attesta.operators import artifact_links, audit, schema_check
 from attesta.plans.artifact_queries import SOUND
 
 SHAPE = "paper_id string, body string"
@@ -76,3 +76,17 @@ def test_no_artifacts(spark):
     none = spark.createDataFrame([], SHAPE)
     assert schema_check.schema_outcome(none).count() == 0 and schema_check.schema_violations(none).count() == 0
     assert artifact_links.artifact_unresolved(artifact_links.artifact_targets(none)).count() == 0
+
+
+def test_report_details_of_odd_findings(spark):
+    papers = spark.createDataFrame([("a", True), ("b", True), ("c", False), ("d", None)], "paper_id string, has_artifact boolean")
+    findings = spark.createDataFrame(
+        [("a", "rigor", 1, "C1", "x", "major"), ("a", "local", 0, "C1", "y", "odd"), ("a", "structural", 3, None, "z", None),
+         ("a", "structural", 2, "C2", "z", "major"), ("c", "rigor", 1, "C1", "x", "major")],
+        "paper_id string, pass_name string, finding_no long, target_id string, code string, severity string")
+    rows = {r.paper_id: r for r in audit.report_details(papers, findings).collect()}
+    assert [(f.pass_name, f.finding_no) for f in rows["a"].findings] == [("structural", 2), ("structural", 3), ("rigor", 1), ("local", 0)]
+    assert rows["a"].severity_summary["major"] == 2 and sum(rows["a"].severity_summary.values()) == 2
+    assert {k: (r.error, len(r.findings)) for k, r in rows.items()} == {
+        "a": (None, 4), "b": (None, 0), "c": ("artifact missing", 0), "d": ("artifact missing", 0)}
+    assert sum(rows["c"].severity_summary.values()) == 0
