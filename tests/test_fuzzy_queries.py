@@ -21,3 +21,27 @@ def test_one_edit_quotes_are_found(spark):
     report = runnable("grd_05b_report_with_fuzzy")(spark, FOLDER).join(refs.select("paper_id", "span_id"), ["paper_id", "span_id"])
     found = report.agg(F.sum("n_fuzzy"), F.sum("n_failed")).first()
     assert found[0] > 0 and found[1] == 0
+
+
+def test_edited_quotes_need_neither_hashes_nor_the_quadratic_bound(monkeypatch):
+    import difflib
+
+    from attesta.operators import fuzzy
+
+    def never(*_):
+        raise AssertionError("this step grows faster than the text")
+
+    monkeypatch.setattr(fuzzy._Blocks, "_hashed", never)
+    monkeypatch.setattr(fuzzy, "_shared_subsequence", never)
+    text = " ".join(f"w{i * 7919 % 10007} of item {i}" for i in range(1500))
+    half = len(text) // 2
+    for edited in (text[:half] + "#" + text[half + 1:], text[:half] + text[half + 40:], "now " + text[:-9]):
+        start, stop, score = fuzzy.locate(text, edited, 0.86, 25)
+        matcher = difflib.SequenceMatcher(None, text, edited, autojunk=False)
+        block = matcher.find_longest_match()
+        if block.size >= int(0.86 * len(edited)):
+            assert (start, stop, score) == (block.a, block.a + block.size, round(block.size / len(edited), 4))
+        else:
+            matcher.set_seq1(text[start:stop])
+            assert start == max(0, block.a - block.b) and score == round(matcher.ratio(), 4)
+    assert fuzzy.locate(text, text[::-1], 0.86, 25) is None
