@@ -210,6 +210,26 @@ def _block_links(s: OrderSettings):
     return links
 
 
+def _joinable(member: DataFrame, items: DataFrame, s: OrderSettings) -> DataFrame:
+    """Members of buckets with left-over rows that some other text of these buckets can still be similar to.
+
+    A shingle that only one text holds is matched by none, and similar texts
+    share ``similarity`` of the longer one's shingles at least.  The shingles
+    that occur twice travel as a bitmap, which only lets too many rows through.
+    """
+    open_rows = member.join(member.where("left_over").select("key").distinct(), "key", "left_semi")
+    theirs = cut_lineage(items.join(open_rows.select("node").distinct(), "node", "left_semi"))
+    again = theirs.select(F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n")).where("n > 1")
+    bitmap = key_filter(again, "item")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            alive = [passes(bitmap, v).sum() >= s.similarity * len(v) - 1e-6 for v in batch["items"]]
+            yield batch.loc[np.array(alive, bool), ["node"]]
+
+    return open_rows.join(theirs.mapInPandas(work, "node long"), "node", "left_semi")
+
+
 def _grouped(docs: DataFrame, s: OrderSettings) -> DataFrame:
     small_batches(docs)
     classes = cut_lineage(sketch_documents(docs, s))
@@ -219,7 +239,7 @@ def _grouped(docs: DataFrame, s: OrderSettings) -> DataFrame:
     # a large bucket is led by the member whose buckets are the fullest: the text that most others stem from
     fame = shared.groupBy("node").agg(F.sum("n").alias("fame"))
     small = shared.where(F.col("n") <= s.pairs_up_to).select("key", "node")
-    large = shared.where(F.col("n") > s.pairs_up_to).join(fame, "node")
+    large = cut_lineage(shared.where(F.col("n") > s.pairs_up_to).join(fame, "node"))
     leads = large.groupBy("key").agg(F.max(F.struct("fame", "node")).getField("node").alias("lead"))
     within = small.select("key", F.col("node").alias("a")).join(small.select("key", F.col("node").alias("b")), "key").where("a < b")
     star = large.join(leads, "key").where("node <> lead").select(
@@ -229,14 +249,16 @@ def _grouped(docs: DataFrame, s: OrderSettings) -> DataFrame:
     links = cut_lineage(_verified_pairs(pairs, items, s))
     found = cut_lineage(connected_components(links))
     # members that their leader did not join are compared with all of the bucket, block by block
-    comps = large.join(found, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp"))
+    comps = large.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
     led = leads.join(found, leads["lead"] == found["node"], "left").select("key", F.coalesce("component", "lead").alias("led"))
     member = cut_lineage(comps.join(led, "key").withColumn("left_over", F.col("comp") != F.col("led")).drop("led"))
+    member = cut_lineage(_joinable(member, items, s))
     open_keys = member.where("left_over").groupBy("key").agg(F.count("*").alias("r"))
+    sizes = member.groupBy("key").agg(F.count("*").alias("n"))
     parts = lambda c: F.ceil(F.col(c) / s.block).cast("int")                                     # noqa: E731
     mine = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")                            # noqa: E731
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))                              # noqa: E731
-    rest = member.join(open_keys, "key").withColumns({"ps": parts("r"), "qs": parts("n")})
+    rest = member.join(open_keys, "key").join(sizes, "key").withColumns({"ps": parts("r"), "qs": parts("n")})
     left = rest.where("left_over").withColumns({"side": F.lit(0), "p": mine("ps")}).withColumn("q", every("qs"))
     right = rest.withColumns({"side": F.lit(1), "q": mine("qs")}).withColumn("p", every("ps"))
     work = left.unionByName(right).select("key", "p", "q", "side", "node", "comp").join(items, "node")

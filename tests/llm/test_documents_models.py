@@ -132,6 +132,17 @@ def test_large_drifting_group(spark):
     assert got == brute_groups(pairs)
 
 
+def test_rows_that_can_join_nothing_leave_the_bucket(spark):
+    from attesta.llm.order_minhash import _joinable
+
+    base = list(range(1000, 1100))
+    texts = {1: base, 2: base[:95] + list(range(5)), 3: base[:60] + list(range(10, 50)), 4: list(range(200, 300)), 5: base[10:]}
+    items = spark.createDataFrame(list(texts.items()), "node long, items array<long>")
+    member = spark.createDataFrame([(7, n, n, n > 2) for n in texts] + [(8, 1, 1, False), (8, 2, 2, False)], "key long, node long, comp long, left_over boolean")
+    left = {(r["key"], r["node"]) for r in _joinable(member, items, OrderSettings()).collect()}
+    assert left == {(7, 1), (7, 2), (7, 5)}
+
+
 def test_alignment_keeps_order():
     s = OrderSettings()
     a, b = ("one two three four five six seven eight nine ten " * 2).split(), [f"t{i}" for i in range(40)]
