@@ -194,29 +194,29 @@ def pack_digest(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("pack").agg(F.sha2(text, 256).alias("digest"), F.count("*").alias("files"))
 
 
+# A string (to its closing quote or the end), a brace, or what lies between; possessive, so no step is taken back.
+JSON_STRETCH = r'''(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+(?:"|\\?\z)|[{}]|[^"{}]++'''
+
+
 def _balanced(body: Column) -> Column:
-    """First balanced ``{...}`` of the text, or NULL: one fold over the characters from the first brace."""
+    """First balanced ``{...}`` of the text, or NULL: one fold over strings, braces and stretches between them."""
     tail = F.substring(body, F.instr(body, F.lit("{")), F.length(body))
-    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(False).alias("done"))
 
-    def step(acc: Column, c: Column) -> Column:
-        n = acc["n"] + 1
-        inside = acc["quoted"]
-        depth = F.when(inside, acc["depth"]).when(c == "{", acc["depth"] + 1).when(c == "}", acc["depth"] - 1).otherwise(acc["depth"])
-        quoted = F.when(inside, acc["escaped"] | (c != '"')).otherwise(c == '"')
-        escaped = inside & ~acc["escaped"] & (c == "\\")
-        end = F.when(acc["end"] > 0, acc["end"]).when(~inside & (c == "}") & (depth == 0), n).otherwise(0)
-        return F.when(acc["end"] > 0, acc).otherwise(F.struct(
-            depth.alias("depth"), quoted.alias("quoted"), escaped.alias("escaped"), n.alias("n"), end.alias("end")))
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"] + F.when(piece == "{", 1).when(piece == "}", -1).otherwise(0)
+        return F.when(acc["done"], acc).otherwise(F.struct(
+            depth.alias("depth"), (acc["n"] + F.length(piece)).alias("n"), (depth == 0).alias("done")))
 
-    end = F.aggregate(F.split(tail, ""), start, step, lambda acc: acc["end"])
-    return F.when((F.instr(body, F.lit("{")) > 0) & (end > 0), F.left(tail, end))
+    pieces = F.regexp_extract_all(tail, F.lit(JSON_STRETCH), F.lit(0))
+    end = F.aggregate(pieces, start, step, lambda acc: F.when(acc["done"], acc["n"]))
+    return F.when((F.instr(body, F.lit("{")) > 0) & (F.instr(body, F.lit("}")) > 0), F.left(tail, end))
 
 
 def parse_replies(replies: DataFrame, body_col: str = "reply_text") -> tuple[DataFrame, DataFrame]:
     """Model replies to JSON objects: whole text, then fenced blocks, then the first balanced object.
 
-    Returns parsed rows (with ``object`` as text) and rejected rows.  The costly
+    Returns parsed rows (with ``object`` as text) and rejected rows.  The
     fold runs only on replies that the first two readings do not settle.
     """
     is_object = lambda c: F.coalesce(F.schema_of_variant(F.try_parse_json(c)).startswith("OBJECT"), F.lit(False))

@@ -151,6 +151,15 @@ def test_replies(spark):
     assert sorted(r.k for r in rejected.collect()) == [3, 4, 5]
 
 
+def test_replies_are_folded_by_pieces(spark):
+    prose = "word " * 2000
+    bodies = ['so {"a": "' + prose + '\\\\\\"}", "b": {"c": "{"}} and {', 'so {"a": "' + prose, 'so {"a": "x\\', "so } {" + prose + "} {}", '\U0001f600 {"a": "\U0001f600"} x']
+    parsed, _ = readers.parse_replies(spark.createDataFrame(list(enumerate(bodies)), "k int, reply_text string"))
+    assert {r.k: r.object for r in parsed.collect()} == {0: bodies[0][3:-6], 4: '{"a": "\U0001f600"}'}
+    pieces = spark.createDataFrame([(bodies[0],)], "t string").select(F.size(F.regexp_extract_all("t", F.lit(readers.JSON_STRETCH), F.lit(0))))
+    assert pieces.first()[0] < 20  # not one for each character
+
+
 def test_guard_targets(spark):
     planned = spark.createDataFrame([("t1", "a")], "target string, paper_id string")
     held = spark.createDataFrame([("t1", "b")], "target string, paper_id string")
