@@ -45,3 +45,11 @@ def test_edited_quotes_need_neither_hashes_nor_the_quadratic_bound(monkeypatch):
             matcher.set_seq1(text[start:stop])
             assert start == max(0, block.a - block.b) and score == round(matcher.ratio(), 4)
     assert fuzzy.locate(text, text[::-1], 0.86, 25) is None
+
+
+def test_texts_are_normalised_in_one_pass(spark):
+    from attesta.operators.grounding import locate_quotes
+
+    t = Tables(spark, FOLDER)
+    plan = locate_quotes(t.quote, t.span).select("paper_id", "pos", "method")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Union" not in plan and "Filter (CASE" not in plan
