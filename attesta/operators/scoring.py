@@ -66,8 +66,12 @@ def quality_estimate(scores: DataFrame, verdicts: DataFrame) -> DataFrame:
     )
 
 
+def is_scored() -> Column:
+    return F.col("required") | (F.col("scoring_mode") == "accepted_improvement")
+
+
 def scored_units(units: DataFrame) -> DataFrame:
-    return units.where(F.col("required") | (F.col("scoring_mode") == "accepted_improvement"))
+    return units.where(is_scored())
 
 
 def unit_status(units: DataFrame, members: DataFrame, submissions: DataFrame) -> DataFrame:
@@ -76,21 +80,26 @@ def unit_status(units: DataFrame, members: DataFrame, submissions: DataFrame) ->
     ``submissions`` has paper_id, contestant.  A covered unit that is no
     improvement gives no row.
     """
-    hit = members.select("paper_id", "unit_id", "contestant").distinct().withColumn("_hit", F.lit(True))
     better = F.col("scoring_mode") == "accepted_improvement"
     asked = units.where(F.col("required") | better)
-    joined = asked.join(submissions, "paper_id").join(hit, ["paper_id", "unit_id", "contestant"], "left")
-    covered = F.col("_hit").isNotNull()
+    # Units meet their contestants before they are multiplied by the submissions.
+    joined = asked.join(holders(members), ["paper_id", "unit_id"], "left").join(submissions, "paper_id")
+    covered = F.coalesce(F.array_contains("_held", F.col("contestant")), F.lit(False))
     severity = F.when(F.col("importance") == "central", "critical").when(F.col("importance") == "supporting", "major").otherwise("minor")
     return joined.where(~covered | better).select(
         "paper_id", "contestant", "unit_id", "importance", "scoring_mode", covered.alias("improvement"),
         F.when(~covered, severity).alias("missing_severity"))
 
 
+def holders(members: DataFrame) -> DataFrame:
+    """(paper_id, unit_id, _held): the contestants that cover a unit; their number bounds the list."""
+    return members.groupBy("paper_id", "unit_id").agg(F.collect_set("contestant").alias("_held"))
+
+
 def covered_units(units: DataFrame, members: DataFrame) -> DataFrame:
     """Only the (unit, contestant) pairs that are covered: grows with the members, not with units x contestants."""
-    hit = members.select("paper_id", "unit_id", "contestant").distinct()
-    return hit.join(units, ["paper_id", "unit_id"])
+    held = holders(members).join(units, ["paper_id", "unit_id"])
+    return held.select("*", F.explode("_held").alias("contestant")).drop("_held")
 
 
 def _weight() -> Column:
@@ -103,18 +112,17 @@ def coverage(units: DataFrame, members: DataFrame, submissions: DataFrame) -> Da
     Totals come once per paper and covered weights once per (paper, contestant),
     so units are never multiplied by contestants.
     """
-    scored = scored_units(units)
     minor = F.col("importance") == "minor"
     weight = _weight()
 
-    def sums(prefix: str) -> list[Column]:
+    def sums(prefix: str, counts: Column = F.lit(True)) -> list[Column]:
         return [
-            F.sum(F.when(~minor, weight).otherwise(0)).alias(f"{prefix}_main"),
-            F.sum(F.when(minor, weight).otherwise(0)).alias(f"{prefix}_minor"),
+            F.sum(F.when(counts & ~minor, weight).otherwise(0)).alias(f"{prefix}_main"),
+            F.sum(F.when(counts & minor, weight).otherwise(0)).alias(f"{prefix}_minor"),
         ]
 
-    totals = units.select("paper_id").distinct().join(scored.groupBy("paper_id").agg(*sums("total")), "paper_id", "left").na.fill(0)
-    got = covered_units(scored, members).groupBy("paper_id", "contestant").agg(*sums("got"))
+    totals = units.groupBy("paper_id").agg(*sums("total", is_scored())).na.fill(0)
+    got = covered_units(scored_units(units), members).groupBy("paper_id", "contestant").agg(*sums("got"))
     joined = submissions.join(totals, "paper_id").join(got, ["paper_id", "contestant"], "left").na.fill(0, ["got_main", "got_minor"])
     # The minor tier counts for at most cap/(1-cap) of the main total; with cap 1/20 that is total_main / 19.
     part = round(1 / fv.MINOR_TIER_CAP) - 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,6 +161,22 @@ def test_replies_are_folded_by_pieces(spark):
     assert pieces.first()[0] < 20  # not one for each character
 
 
+def test_units_meet_contestants_before_submissions(spark):
+    units = spark.createDataFrame(
+        [("p", "u1", "central", True, "required"), ("p", "u2", "minor", False, "accepted_improvement"), ("p", "u3", "minor", False, "required"),
+         ("q", "u1", "supporting", True, "required")], "paper_id string, unit_id string, importance string, required boolean, scoring_mode string")
+    members = spark.createDataFrame(
+        [("p", "u1", "a"), ("p", "u1", "a"), ("p", "u2", "b"), ("p", "u3", "a"), ("p", "u1", None)], "paper_id string, unit_id string, contestant string")
+    submissions = spark.createDataFrame([("p", "a"), ("p", "b"), ("q", "a")], "paper_id string, contestant string")
+    status = scoring.unit_status(units, members, submissions)
+    assert sorted((r.paper_id, r.contestant, r.unit_id, r.improvement, r.missing_severity) for r in status.collect()) == [
+        ("p", "a", "u2", False, "minor"), ("p", "b", "u1", False, "critical"), ("p", "b", "u2", True, None), ("q", "a", "u1", False, "major")]
+    got = {(r.paper_id, r.contestant): r.coverage for r in scoring.coverage(units, members, submissions).collect()}
+    assert got[("p", "a")] > got[("p", "b")] > 0 and got[("q", "a")] == 0
+    plan = status._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"contestant#\d+ = contestant#\d+", plan)  # no shuffle of units x contestants
+
+
 def test_guard_targets(spark):
     planned = spark.createDataFrame([("t1", "a")], "target string, paper_id string")
     held = spark.createDataFrame([("t1", "b")], "target string, paper_id string")
