@@ -9,6 +9,10 @@ collapsed to their distinct sets of frequent terms, and each set is searched
 once.  Of the most frequent term of a set no list is read beyond its first k
 rows, since what shares nothing but this term is ranked by that list's own
 order.  So a term that every row holds costs k rows.
+
+Papers with at most ``FEW`` rows on either side need none of this: ``split_papers``
+sets them apart, and ``all_scores`` compares their rows one by one, so that terms
+travel once and a row meets no more than ``FEW`` others.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import functions as F
 from attesta.operators.frames import top_rows
 from attesta.session import cut_lineage
 
+FEW = 1024  # rows of a paper, each side, up to which its rows are compared one by one; results do not depend on it
 OFTEN = 64  # rows a list may have to be joined outright; results do not depend on it
 
 Score = Callable[[Column, Column, Column], Column]
@@ -35,6 +40,27 @@ def jaccard(shared: Column, asked: Column, offered: Column) -> Column:
     return shared / (asked + offered - shared)
 
 
+def split_papers(asked: DataFrame, offered: DataFrame, few: int) -> tuple[DataFrame, DataFrame, tuple[DataFrame, DataFrame] | None]:
+    """Both sides' rows of small papers, and both sides' rows of larger ones, if there are any."""
+    counts = [side.groupBy("paper_id").agg(F.count("*").alias("_n")).where(F.col("_n") > few).select("paper_id") for side in (asked, offered)]
+    large = cut_lineage(counts[0].union(counts[1]).distinct())
+    if large.isEmpty():
+        return asked, offered, None
+    kept = lambda how: [side.join(large, "paper_id", how) for side in (asked, offered)]
+    return *kept("left_anti"), tuple(kept("left_semi"))
+
+
+def all_scores(asked: DataFrame, offered: DataFrame, score: Score) -> DataFrame:
+    """Every asked with every offered row of its paper, and their score: 0 where either has no terms.
+
+    ``asked``: paper_id, terms and more; ``offered``: paper_id, its own terms as ``o_terms`` and more.
+    """
+    a, o = F.size("terms"), F.size("o_terms")
+    both = asked.join(offered, "paper_id").withColumn("_shared", F.size(F.array_intersect("terms", "o_terms")))
+    return both.withColumn("score", F.when((a > 0) & (o > 0), score(F.col("_shared"), a, o)).otherwise(F.lit(0.0))).drop(
+        "terms", "o_terms", "_shared")
+
+
 def best_partners(asked: DataFrame, offered: DataFrame, k: int, score: Score, tie: Column, often: int = OFTEN) -> DataFrame:
     """(paper_id, a, o, score): the ``k`` best offered rows that share a term with an asked one, ``tie`` ascending among equals.
 

@@ -20,12 +20,17 @@ RETRIEVED = """
   WHERE k <= 5"""
 
 
+def dealt_terms(t):
+    """Claims with their terms, dealt by paper: claims and evidence read the same shuffled rows."""
+    return t.claim.select("paper_id", "pos", "claim_id", X.content_terms("statement").alias("terms")).repartition("paper_id")
+
+
 def claim_terms(t):
-    return t.claim.select("paper_id", F.col("pos").alias("claim_pos"), "claim_id", X.content_terms("statement").alias("terms"))
+    return dealt_terms(t).select("paper_id", F.col("pos").alias("claim_pos"), "claim_id", "terms")
 
 
 def evidence_terms(t):
-    return t.claim.select("paper_id", "pos", F.concat(F.lit("e"), "claim_id").alias("candidate_id"), X.content_terms("statement").alias("terms"))
+    return dealt_terms(t).select("paper_id", "pos", F.concat(F.lit("e"), "claim_id").alias("candidate_id"), "terms")
 
 
 @query("lnk_01_topk_retrieval", """

@@ -66,3 +66,26 @@ def join_rows(df):
         children = node.children()
         todo += [children.apply(i) for i in range(children.size())]
     return out
+
+
+def drawn_terms(seed, papers=3, size=12):
+    rng = random.Random(seed)
+    return [(f"p{p}", i, f"C{i}", [f"t{rng.randint(0, 15)}" for _ in range(rng.randint(0, 6))]) for p in range(papers) for i in range(size + p)]
+
+
+def test_small_papers_are_compared_row_by_row(spark, monkeypatch):
+    """Same evidence and matches as by shared terms, without that path's tables."""
+    from attesta.operators import compare, linking
+
+    claims = spark.createDataFrame([(*r[:3], sorted(set(r[3]))) for r in drawn_terms(1)], "paper_id string, claim_pos int, claim_id string, terms array<string>")
+    texts = claims.select("paper_id", F.col("claim_pos").alias("pos"), F.concat(F.lit("e"), "claim_id").alias("candidate_id"), "terms")
+    units = claims.select("paper_id", F.col("claim_pos").alias("unit_id"), F.when(F.col("claim_pos") % 3 == 0, "s1").otherwise("s999").alias("best_id"), F.col("terms").alias("tokens"))
+    ours = claims.select("paper_id", F.col("claim_pos").alias("idx"), F.slice("terms", 1, 3).alias("tokens"))
+    evidence = lambda few: {tuple(r[c] for c in ("paper_id", "claim_pos", "claim_id", "candidate_id", "score"))
+                            for r in linking.retrieve_evidence(claims, texts, 4, few).collect()}
+    match = lambda few: {tuple(r) for r in compare.best_match(units, ours, few).collect()}
+    by_terms, mixed = (evidence(0), match(0)), (evidence(13), match(13))
+    for module in (compare, linking):
+        monkeypatch.setattr(module, "best_partners", lambda *a: pytest.fail("small papers went through lists of terms"))
+    assert by_terms == mixed == (evidence(1024), match(1024))
+    assert len(by_terms[0]) == claims.count() * 4 and len(by_terms[1]) == claims.count()
