@@ -53,3 +53,36 @@ def test_texts_are_normalised_in_one_pass(spark):
     t = Tables(spark, FOLDER)
     plan = locate_quotes(t.quote, t.span).select("paper_id", "pos", "method")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Union" not in plan and "Filter (CASE" not in plan
+
+
+REPEATED = (  # the longest block takes the edited character and stands far left, or one half is longer than it looks
+    "Of the ering and anonxxxxxxxxxxxxx###" + " Is onhe." * 20,
+    "Das istxxx###" + " Ist ßonhe." * 20,
+    "Das istx###" + " Ist ßonhe." * 20,
+)
+
+
+def test_edited_quotes_of_repeated_text_are_found():
+    from attesta.operators.fuzzy import locate
+
+    for source in REPEATED:
+        half = len(source) // 2
+        text, edited = source.replace("ß", "ss"), (source[:half] + "#" + source[half + 1:]).replace("ß", "ss")
+        start, stop, score = locate(text, edited, 0.86, 25)
+        assert start == 0 and stop == len(edited) and score >= round((len(edited) - 2) / len(edited), 4)
+        assert locate(text, edited[::-1], 0.86, 25) is None
+
+
+def test_funnel_of_repeated_text_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from attesta.plans.registry import QUERIES
+
+    name, path = "rpt_07b_span_funnel_with_fuzzy", f"{tmp_path}/documents.parquet"
+    rows = [(4 * n + key, text, "en", "web", len(text)) for n, text in enumerate(REPEATED) for key in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    columns = ("paper_id", "span_id", "raw", "grounded", "citing")
+    expected = con.execute(f"SELECT {', '.join(columns)} FROM ({QUERIES[name].sql})").fetchall()
+    assert sorted(map(tuple, runnable(name)(spark, f"{tmp_path}").select(*columns).collect())) == sorted(expected)
