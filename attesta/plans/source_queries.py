@@ -144,7 +144,7 @@ UNION ALL SELECT DISTINCT 'r' || CAST(conv_id % 3 AS VARCHAR), CAST(conv_id AS V
 def _unit_pages(t):
     items = t.read("conversations").groupBy("conv_id").agg(F.collect_list(F.struct(
         F.concat(F.lit("u"), F.col("turn").cast("string")).alias("unit_id"), F.col("text").alias("statement"),
-        F.slice(F.split("text", " "), F.lit(1), (F.col("turn") % 4).cast("int")).alias("equivalents"), F.array_repeat("role", 7).alias("source_quotes"))).alias("units"))
+        F.array_repeat("role", (F.col("turn") % 4).cast("int")).alias("equivalents"), F.array_repeat("role", 7).alias("source_quotes"))).alias("units"))
     other = F.when(F.col("conv_id") % 5 == 0, "other").otherwise(F.col("conv_id").cast("string"))
     run = F.concat(F.lit("r"), (F.col("conv_id") % 3).cast("string"))
     pages = items.select(run.alias("run_id"), F.col("conv_id").cast("string").alias("paper_id"), F.to_json(F.array(F.struct(run.alias("run_id"), other.alias("paper_id"), "units"))).alias("body"))
