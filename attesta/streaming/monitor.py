@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from attesta.operators.reports import run_rollup
+from attesta.session import cut_lineage
 from attesta.sources.folders import entries, remove
 
 
@@ -32,47 +34,87 @@ def covering_blocks(intervals: DataFrame) -> DataFrame:
         "*", F.inline(_nodes("_past", "_to", "_top")))
 
 
-def _summarised(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("last").alias("last"),
-                                   F.max("peak").alias("peak"), F.min("low").alias("low"))
+def _placed(intervals: DataFrame, samples: DataFrame, slot_seconds: int) -> tuple[DataFrame, DataFrame]:
+    """Samples numbered from 0 per host in order of time, and intervals with the numbers from ``_lo`` to below ``_hi`` inside them.
+
+    One pass sorts samples and interval ends slot by slot; only the slots' totals are ordered per host.
+    """
+    nothing = F.lit(None)
+    rows = samples.where("host IS NOT NULL AND ts IS NOT NULL").select(
+        "host", F.unix_micros("ts").alias("_at"), F.lit(0).alias("_kind"), F.col("sample_no").alias("_no"), "value",
+        nothing.alias("interval_id"), nothing.alias("started"), nothing.alias("ended"))
+    edges = intervals.where("host IS NOT NULL AND ended >= started").select(
+        "host", F.inline(F.array(F.struct(F.unix_micros("started").alias("_at"), F.lit(1).alias("_kind")),
+                                 F.struct(F.unix_micros("ended").alias("_at"), F.lit(2).alias("_kind")))),
+        nothing.alias("_no"), nothing.alias("value"), "interval_id", "started", "ended")
+    marks = rows.unionByName(edges).withColumn("_slot", F.floor(F.col("_at") / (slot_seconds * 1_000_000))).withColumn(
+        "_one", F.when(F.col("_kind") == 0, 1).otherwise(0))
+    earlier = W.partitionBy("host").orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    before = marks.groupBy("host", "_slot").agg(F.sum("_one").alias("_sum")).select(
+        "host", "_slot", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    slot = W.partitionBy("host", "_slot")
+    count = lambda window: F.col("_base") + F.coalesce(F.sum("_one").over(window), F.lit(0))
+    numbered = cut_lineage(marks.join(before, ["host", "_slot"]).select(
+        "*", count(slot.orderBy("_at", "_kind", "_no").rowsBetween(W.unboundedPreceding, -1)).alias("pos"),
+        F.first("value").over(W.partitionBy("host", "_slot", "_at").orderBy("_kind", "_no")).alias("_first"),
+        F.when(F.col("_kind") == 1, count(slot.orderBy("_at").rangeBetween(W.unboundedPreceding, -1))).when(
+            F.col("_kind") == 2, count(slot.orderBy("_at").rangeBetween(W.unboundedPreceding, 0))).alias("_edge")))
+    ranges = numbered.where("_kind > 0").groupBy("host", "interval_id", "started", "ended").agg(
+        F.max(F.when(F.col("_kind") == 1, F.col("_edge"))).alias("_lo"), F.max(F.when(F.col("_kind") == 2, F.col("_edge"))).alias("_hi"),
+        F.count(F.when(F.col("_kind") == 1, 1)).alias("_copies"))
+    return numbered.where("_kind = 0").select("host", "pos", "_at", "value", "_first"), ranges
+
+
+FINE = 6    # levels of blocks that are built from single samples; the others from blocks of 2^FINE
+
+
+def _blocks(placed: DataFrame) -> DataFrame:
+    """Peak and low of the aligned blocks of 1, 2, 4, ... samples."""
+    def of(rows: DataFrame, first: int, past: int) -> DataFrame:
+        each = rows.withColumn("level", F.explode(F.sequence(F.lit(first), F.lit(past - 1))))
+        return each.withColumn("node", F.expr(f"shiftright(pos, level - {first})")).groupBy("host", "level", "node").agg(
+            F.max("peak").alias("peak"), F.min("low").alias("low"))
+
+    single = placed.select("host", "pos", F.col("value").alias("peak"), F.col("value").alias("low"))
+    wide = single.withColumn("pos", F.expr(f"shiftright(pos, {FINE})")).groupBy("host", "pos").agg(
+        F.max("peak").alias("peak"), F.min("low").alias("low"))
+    return of(single, 0, FINE).unionByName(of(wide, FINE, 63))
 
 
 def interval_summary(intervals: DataFrame, samples: DataFrame, step_seconds: float, slot_seconds: int) -> DataFrame:
     """First, last, peak and minimum sample per interval; the nearest sample if none lies inside.
 
     ``intervals``: host, interval_id, started, ended; ``samples``: host, ts,
-    sample_no, value.  Samples are summed up per slot of time and per block of
-    1, 2, 4, ... slots.  An interval meets single samples in its first and last
-    slot only and whole blocks between, so its cost grows with the logarithm of
-    its length.  The fallback looks within two steps of the middle.
+    sample_no, value.  Samples are numbered per host in order of time, and an
+    interval is the numbers from its first to its last sample.  It is listed
+    under the blocks of 1, 2, 4, ... numbers that fill it, so the cost grows with
+    the logarithm of its samples, however densely samples and intervals lie.
+    The nearest sample is the one before or after, at most two steps from the middle.
     """
-    slot = lambda ts: F.floor(F.unix_micros(ts) / (slot_seconds * 1_000_000))
-    valid = intervals.where(F.col("ended") >= F.col("started"))
-    placed = samples.where(F.col("ts").isNotNull()).select("host", "ts", "sample_no", "value", slot("ts").alias("_slot"))
-    row = F.struct("ts", "sample_no", "value")
-    single = placed.select("host", "_slot", "ts", F.lit(1).cast("bigint").alias("n"), row.alias("first"), row.alias("last"),
-                           F.col("value").alias("peak"), F.col("value").alias("low"))
-    spans = valid.select("host", "interval_id", "started", "ended", slot("started").alias("_from"), slot("ended").alias("_to"))
-    listed = covering_blocks(spans).select("host", "interval_id", "level", "node")
-    levels = F.sequence(F.lit(0), F.coalesce(listed.agg(F.max("level")).scalar(), F.lit(0)))
-    blocks = _summarised(_summarised(single, "host", "_slot").withColumn("level", F.explode(levels)).withColumn(
-        "node", F.expr("shiftright(_slot, level)")), "host", "level", "node")
-    between = listed.join(blocks, ["host", "level", "node"]).select("host", "interval_id", "n", "first", "last", "peak", "low")
-    ends = spans.withColumn("_slot", F.explode(F.array_distinct(F.array("_from", "_to"))))
-    outer = ends.join(single, ["host", "_slot"]).where(F.col("ts").between(F.col("started"), F.col("ended")))
-    found = _summarised(between.unionByName(outer.select(*between.columns)), "host", "interval_id").select(
-        "host", "interval_id", F.col("n").alias("samples"), F.col("first.value").alias("first_value"),
-        F.col("last.value").alias("last_value"), "peak", "low")
-    lonely = valid.join(found.select("host", "interval_id"), ["host", "interval_id"], "left_anti")
+    placed, ranges = _placed(intervals, samples, slot_seconds)
+    full = ranges.where("_hi > _lo")
+    listed = covering_blocks(full.withColumn("_from", F.col("_lo") - 1).withColumn("_to", F.col("_hi")))
+    keys = ["host", "interval_id", "started", "ended"]
+    ends = full.select(*keys, F.lit(0).alias("level"), F.inline(F.array(
+        F.struct(F.col("_lo").alias("node"), F.lit("first").alias("_end")), F.struct((F.col("_hi") - 1).alias("node"), F.lit("last").alias("_end")))))
+    rows = listed.select(*keys, "level", "node", F.lit("").alias("_end")).unionByName(ends)
+    found = rows.join(_blocks(placed), ["host", "level", "node"]).groupBy(*keys).agg(
+        F.max(F.when(F.col("_end") == "first", F.col("peak"))).alias("first_value"),
+        F.max(F.when(F.col("_end") == "last", F.col("peak"))).alias("last_value"), F.max("peak").alias("peak"), F.min("low").alias("low"))
+    counted = found.join(full, keys).groupBy("host", "interval_id").agg(
+        F.sum((F.col("_hi") - F.col("_lo")) * F.col("_copies")).alias("samples"), F.min_by("first_value", "_lo").alias("first_value"),
+        F.max_by("last_value", "_hi").alias("last_value"), F.max("peak").alias("peak"), F.min("low").alias("low"))
+    lonely = ranges.groupBy("host", "interval_id").agg(
+        F.max(F.col("_hi") > F.col("_lo")).alias("_any"), F.collect_set(F.struct("started", "ended", "_lo")).alias("_r")).where("NOT _any")
     middle = (F.unix_micros("started") + F.unix_micros("ended")) / 2
-    reach = step_seconds * 2 * 1_000_000
-    near = lonely.withColumn("_mid", middle).withColumn("_slot", F.explode(F.sequence(
-        F.floor((F.col("_mid") - reach) / (slot_seconds * 1_000_000)), F.floor((F.col("_mid") + reach) / (slot_seconds * 1_000_000)))))
-    close = near.join(placed, ["host", "_slot"]).withColumn("_gap", F.abs(F.unix_micros("ts") - F.col("_mid"))).where(F.col("_gap") <= reach)
-    fallback = close.groupBy("host", "interval_id").agg(F.min_by("value", F.struct("_gap", "ts", "sample_no")).alias("first_value"))
-    nearest = fallback.select("host", "interval_id", F.lit(1).cast("bigint").alias("samples"), "first_value",
-                              F.col("first_value").alias("last_value"), F.col("first_value").alias("peak"), F.col("first_value").alias("low"))
-    return found.unionByName(nearest)
+    near = lonely.select("host", "interval_id", F.inline("_r")).select(
+        "host", "interval_id", middle.alias("_mid"), F.explode(F.array(F.col("_lo") - 1, F.col("_lo"))).alias("pos"))
+    close = near.join(placed, ["host", "pos"]).withColumn("_gap", F.abs(F.col("_at") - F.col("_mid"))).where(
+        F.col("_gap") <= step_seconds * 2 * 1_000_000)
+    nearest = close.groupBy("host", "interval_id").agg(F.min_by("_first", F.struct("_gap", "_at")).alias("first_value")).select(
+        "host", "interval_id", F.lit(1).cast("bigint").alias("samples"), "first_value",
+        F.col("first_value").alias("last_value"), F.col("first_value").alias("peak"), F.col("first_value").alias("low"))
+    return counted.unionByName(nearest)
 
 
 def monitored_runs(results: DataFrame, path: str, checkpoint: str, lateness: str = "1 day", key: list[str] | None = None) -> StreamingQuery:

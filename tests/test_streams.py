@@ -78,6 +78,24 @@ def test_interval_summary_equals_a_plain_scan(spark):
     assert {r.interval_id: (r.samples, r.first_value, r.last_value, r.peak, r.low) for r in out} == expected
 
 
+def test_dense_intervals_meet_few_rows(spark):
+    """Many intervals and samples of one slot: an interval is listed under the samples inside it only."""
+    at = lambda s: DAY + timedelta(seconds=s)
+    samples = [(1, at(i // 3), 9000 - i, float(i % 7)) for i in range(1200)]
+    spans = [(1, i, at(i), at(i + 2)) for i in range(0, 400, 2)] + [(1, 1000, at(500), at(520)), (1, 1001, at(-9), at(-8)), (None, 7, at(0), at(9))]
+    intervals = spark.createDataFrame(spans, "host int, interval_id int, started timestamp, ended timestamp")
+    table = spark.createDataFrame(samples, "host int, ts timestamp, sample_no int, value double")
+    _, ranges = monitor._placed(intervals, table, 3600)
+    assert ranges.agg({"_hi": "max"}).first()[0] == 1200 and ranges.where("_hi - _lo > 9").count() == 0
+    found = {r.interval_id: (r.samples, r.first_value, r.last_value) for r in monitor.interval_summary(intervals, table, 300, 3600).collect()}
+    value = lambda number: next(v for _, _, n, v in samples if n == number)
+    for _, number, start, end in spans[:200]:
+        inside = sorted((t, n) for _, t, n, _ in samples if start <= t <= end)
+        assert found[number] == (len(inside), value(inside[0][1]), value(inside[-1][1]))
+    # of equally near samples the one of the smallest number counts
+    assert found[1000] == (1, value(9000 - 1199), value(9000 - 1199)) and found[1001] == (1, value(9000 - 2), value(9000 - 2)) and 7 not in found
+
+
 @pytest.fixture
 def folder(tmp_path):
     return str(tmp_path / uuid.uuid4().hex)
