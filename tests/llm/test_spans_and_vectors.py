@@ -231,3 +231,15 @@ def test_vector_recall_whatever_way_pairs_differ(spark, kind, capsys):
     with capsys.disabled():
         print(f"\nrecall, {kind}: {recall:.4f}")
     assert 0.99 <= recall <= 1 and all(r["component_id"] in (r["vec_id"], r["vec_id"] - 4000) for r in rows)
+
+
+def test_later_places_are_written_without_the_first_ones(spark):
+    from attesta.llm import prefix_free as P
+
+    rows = spark.range(6000).selectExpr("int(id % 3000) * 7 AS content", "0 AS key", "id", "0 AS start", "id AS tag", "0 AS size").selectExpr(
+        "CASE WHEN id >= 5000 THEN 3 ELSE content END AS content", "key", "id", "start", "tag", "size").selectExpr(
+        "bigint(content) AS content", "key", "id", "start", "tag", "size")
+    whole, few = P._sorted_places(rows), P._sorted_places(rows, firsts=False)
+    later = [sorted(map(tuple, P._split(*both)[1].collect())) for both in (whole, few)]
+    assert later[0] == later[1] and len(later[0]) == 2000 + 999
+    assert few[0].where("lead").count() <= 2 * few[0].select("part").distinct().count() < 100 < whole[0].where("lead").count()
