@@ -86,3 +86,34 @@ def test_funnel_of_repeated_text_equals_its_sql(spark, tmp_path):
     columns = ("paper_id", "span_id", "raw", "grounded", "citing")
     expected = con.execute(f"SELECT {', '.join(columns)} FROM ({QUERIES[name].sql})").fetchall()
     assert sorted(map(tuple, runnable(name)(spark, f"{tmp_path}").select(*columns).collect())) == sorted(expected)
+
+
+def _words(n):
+    return " ".join(f"w{i * 7919 % 10007}" for i in range(n))
+
+
+LONG = (  # one line each; the edited character is `ß`, or the text repeats itself, or both
+    "Anfang " + _words(88) + "ß" + _words(90)[:-2] + "uvw",
+    "Of the ering and anon" + " Is onhe and it." * 80,
+    "Of the ering" + "x" * 620 + " Is onhe and it." * 40,
+    "Das ist" + " Ist ßonhe." * 150,
+    "Das" + " Ist onhe so." * 220,
+)
+
+
+def test_guard_of_long_edited_quotes_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    from attesta.plans.registry import QUERIES
+
+    lines = [*LONG, *(text[:n] + "ß" + text[n + 1:] for text in LONG for n in [len(text) // 2])]
+    lines += [text + "q" * extra for text in lines for extra in (1, 2)]
+    name, path = "grd_06_final_quote_guard", f"{tmp_path}/documents.parquet"
+    rows = [(4 * n + key, text, "de", "web", len(text)) for n, text in enumerate(lines) for key in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    columns = ("paper_id", "claim_id", "pos", "span_id", "role", "verified", "quote")
+    expected = con.execute(f"SELECT {', '.join(columns)} FROM ({QUERIES[name].sql})").fetchall()
+    found = runnable(name)(spark, f"{tmp_path}").select(*columns).collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
